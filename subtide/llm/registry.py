@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from subtide.llm import bpe
+from subtide.llm import bpe, mixing
 
 
 def queries() -> dict:
-    return {"op3_bpe": bpe.op3_bpe}
+    return {"op3_bpe": bpe.op3_bpe, "op7_mix": mixing.op7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix": mixing.OP7_SQL}
