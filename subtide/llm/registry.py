@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from subtide.llm import bpe, mixing
+from subtide.llm import bpe, licenses, mixing
 
 
 def queries() -> dict:
-    return {"op3_bpe": bpe.op3_bpe, "op7_mix": mixing.op7_mix}
+    return {"op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": mixing.OP7_SQL}
+    return {"op5_licenses": licenses.oracle(), "op7_mix": mixing.OP7_SQL}
