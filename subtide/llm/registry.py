@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from subtide.llm import bpe, langid, licenses, mixing
+from subtide.llm import bpe, langid, licenses, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix, "op10_langid": langid.op10_langid}
+    return {"op2_toxicity": toxicity.op2_toxicity, "op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix, "op10_langid": langid.op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
