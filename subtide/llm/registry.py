@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from subtide.llm import bpe, chat, langid, licenses, mixing, toxicity
+from subtide.llm import bpe, chat, langid, licenses, maxscore, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op1_chat": chat.op1_chat, "op2_toxicity": toxicity.op2_toxicity, "op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix, "op10_langid": langid.op10_langid}
+    return {"op1_chat": chat.op1_chat, "op2_toxicity": toxicity.op2_toxicity, "op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix, "op9_maxscore": maxscore.op9_maxscore, "op10_langid": langid.op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op5_licenses": licenses.oracle(), "op7_mix": mixing.OP7_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op5_licenses": licenses.oracle(), "op7_mix": mixing.OP7_SQL, "op9_maxscore": maxscore.OP9_SQL}
