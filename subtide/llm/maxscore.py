@@ -111,7 +111,7 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     tune(rows.sparkSession)
     c = F.col(f"`{key}`")
     base = rows.filter(valid(vector) & c.isNotNull()).select(c.alias(key), floored(vector, scale).alias("v"))
-    asked = queries.filter(valid(vector) & c.isNotNull()).select(c.alias(key), floored(vector, scale).alias("v"))
+    asked = queries.filter(valid(vector) & c.isNotNull()).select(c.alias(key), floored(vector, scale).alias("v")).dropDuplicates([key])
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
     shard_rows = _blocks(base, key, shards, SHARD_ROWS, 0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from subtide.llm import bpe, chat, langid, licenses, maxscore, mixing, toxicity
+from subtide.llm import ann, bpe, chat, langid, licenses, maxscore, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op1_chat": chat.op1_chat, "op2_toxicity": toxicity.op2_toxicity, "op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op7_mix": mixing.op7_mix, "op9_maxscore": maxscore.op9_maxscore, "op10_langid": langid.op10_langid}
+    return {"op1_chat": chat.op1_chat, "op2_toxicity": toxicity.op2_toxicity, "op3_bpe": bpe.op3_bpe, "op5_licenses": licenses.op5_licenses, "op6_ann": ann.op6_ann, "op7_mix": mixing.op7_mix, "op9_maxscore": maxscore.op9_maxscore, "op10_langid": langid.op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
