@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Rows in one Arrow batch: bounds what a Python worker holds of very long texts.
 ARROW_ROWS = 256
@@ -71,3 +72,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+#: A list of rows up to this length is broadcast: at 16 bytes a row it takes a few tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def without(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys (nulls compare equal) are not listed; a short list is broadcast, a longer one shuffled."""
+    gone = written(listed.select(*keys).distinct())
+    side = gone.select(*[gone[k].alias(f"__gone_{k}") for k in keys])
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = broadcast(side)
+    return rows.join(side, [rows[k].eqNullSafe(side[f"__gone_{k}"]) for k in keys], "left_anti")

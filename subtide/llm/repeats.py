@@ -394,8 +394,11 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep columns, kept (bytes left of each text) and spans (the removed runs, in bytes of the text)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """keep columns, kept (bytes left of each text) and spans (the removed runs, in bytes of the text).
+
+    as_text: kept is a string, without the bytes of characters that a cut has split.
+    """
     spark = tune(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     n = docs.count()
@@ -409,7 +412,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"), F.coalesce(F.pmod(doc, F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
     more = find_windows(texts, found.filter(F.col("kind") == LOOK), parts, buckets)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
-    schema = texts.select(*keep).schema.add("kept", "binary").add("spans", _span_type())
+    schema = texts.select(*keep).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(key_, table_: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -420,10 +423,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
         kept, runs = [], []
         for d, t, raw in zip(table_.column("__doc").to_pylist(), table_.column("__tag").to_pylist(), table_.column("__data"), strict=True):
             left, cuts = cut(raw.as_py(), of.get((d, t & 0xFFFFFFFF), spans[:0]))
-            kept.append(left)
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             runs.append([{"start": a, "end": z} for a, z in cuts])
         out = table_.select(keep)
-        return out.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(runs, arrow_spans))
+        return out.append_column("kept", pa.array(kept, pa.string() if as_text else pa.binary())).append_column("spans", pa.array(runs, arrow_spans))
 
     return texts.groupBy("__bucket").cogroup(covered.groupBy("part")).applyInArrow(finish, schema)
 
