@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle is dealt into; follows the session's setting, which follows the data."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

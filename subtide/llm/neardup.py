@@ -173,6 +173,7 @@ def meetings(sketched: DataFrame, bands: int, parts: int) -> DataFrame:
                     yield zero
 
         for _, _, blob in grouped(blobs()):
+            blob = b"".join(blob)
             while rest:
                 one = rest.pop()
                 yield pa.RecordBatch.from_arrays([one.column(3), one.column(4)], ["a", "b"])

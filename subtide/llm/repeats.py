@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import mix64, partitions, table, tune, written
+from subtide.llm.common import freed, mix64, partitions, table, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
 #: Bytes that are hashed at once; longer documents go in overlapping pieces. Entries that a task holds before it passes them on.
-PIECE, HOLD = 1 << 19, 1 << 20
+PIECE, HOLD = 1 << 18, 1 << 19
 #: Bits of the bitmap of repeated triggers; documents of a bucket in the steps that need texts.
 LEAST_BITS, MOST_BITS, BUCKET_DOCS = 16, 28, 192
 
@@ -142,6 +143,21 @@ def split_by(part: np.ndarray, values: np.ndarray):
         yield int(part[a]), values[a:z]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Records as compressed byte planes: keys of one document or of one range share most of their bytes."""
+    k = x.dtype.itemsize
+    return bytes([k]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, k).T).tobytes(), 1)
+
+
+def unpacked(blobs) -> bytes:
+    """The records of packed blobs, one after the other."""
+    out = []
+    for blob in blobs:
+        planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(blob[0], -1).T).tobytes())
+    return b"".join(out)
+
+
 def _rows(items: list[tuple[int, int, bytes]]):
     """Record batches of (part, kind, blob)."""
     out, size = [], 0
@@ -165,21 +181,21 @@ COVERED, LOOK, ASK = 0, 1, 2
 
 
 def grouped(batches):
-    """(part, kind, joined blobs) of rows sorted by part and kind."""
+    """(part, kind, blobs) of rows sorted by part and kind."""
     at, held = None, []
     for b in batches:
         for part, kind, blob in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
             if at != (part, kind):
                 if held:
-                    yield (*at, b"".join(held))
+                    yield (*at, held)
                 at, held = (part, kind), []
             held.append(blob)
     if held:
-        yield (*at, b"".join(held))
+        yield (*at, held)
 
 
 def spans_out(spans: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    return [(b, kind, x.tobytes()) for b, x in split_by(spans["doc"] % buckets, spans)]
+    return [(b, kind, packed(x)) for b, x in split_by(spans["doc"] % buckets, spans)]
 
 
 def joined_spans(spans: np.ndarray) -> np.ndarray:
@@ -246,8 +262,8 @@ def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> np.ndarray:
             yield from out()
 
     def meet(batches):
-        for part, _, blob in grouped(batches):
-            six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+        for part, _, blobs in grouped(batches):
+            six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
             t = np.zeros((len(six), 8), np.uint8)
             t[:, 2:] = six
             t = np.sort(t.view("<u8").ravel())
@@ -279,7 +295,7 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             x = x[order]
             yield from _rows(spans_out(joined_spans(as_spans(x[lost])), COVERED, buckets))
             x = x[~lost]
-            yield from _rows([(p, ASK, y.tobytes()) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)])
+            yield from _rows([(p, ASK, packed(y)) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)])
 
         for docs, tags, bases, pieces in pieces_of(batches):
             got = phrases(pieces)
@@ -299,11 +315,11 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             yield from out()
 
     def meet(batches):
-        for part, kind, blob in grouped(batches):
+        for part, kind, blobs in grouped(batches):
             if kind != ASK:
-                yield _batch([(part, kind, blob)])
+                yield from _rows([(part, kind, b) for b in blobs])
                 continue
-            x = np.frombuffer(blob, ENTRY)
+            x = np.frombuffer(unpacked(blobs), ENTRY)
             order, new, lost = beaten([x["t"], x["e"]], x["doc"])
             x = x[order]
             yield from _rows(spans_out(as_spans(x[lost]), COVERED, buckets))
@@ -325,7 +341,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
         none = pa.Table.from_batches([], _batch([(0, 0, b"")]).schema)
         if not blobs.num_rows or not docs.num_rows:
             return none
-        look = np.frombuffer(b"".join(blobs.column("blob").to_pylist()), SPAN)
+        look = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
         raw = {(d, t & 0xFFFFFFFF): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
         data = docs.column("__data")
         contexts, last, text = [], None, b""
@@ -354,15 +370,15 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
         x = x[order]
         out = spans_out(joined_spans(as_spans(x[lost], WINDOW)), COVERED, buckets)
         x = x[~lost]
-        out += [(p, ASK, y.tobytes()) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)]
+        out += [(p, ASK, packed(y)) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)]
         return pa.Table.from_batches([_batch(out)]) if out else none
 
     def meet(batches):
-        for part, kind, blob in grouped(batches):
+        for part, kind, blobs in grouped(batches):
             if kind != ASK:
-                yield _batch([(part, kind, blob)])
+                yield from _rows([(part, kind, b) for b in blobs])
                 continue
-            x = np.frombuffer(blob, WINDOWS)
+            x = np.frombuffer(unpacked(blobs), WINDOWS)
             order, _, lost = beaten([x["t"], x["w"]], x["doc"])
             yield from _rows(spans_out(joined_spans(as_spans(x[order][lost], WINDOW)), COVERED, buckets))
 
@@ -408,7 +424,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
     doc = F.col(f"`{key}`").cast("long")
     rows = docs.select(doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"))
-    found = written(find_phrases(rows, repeated_triggers(rows, bits, parts), bits, parts, buckets))
+    bitmap = repeated_triggers(rows, bits, parts)
+    freed(spark)
+    found = written(find_phrases(rows, bitmap, bits, parts, buckets))
+    freed(spark)
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"), F.coalesce(F.pmod(doc, F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
     more = find_windows(texts, found.filter(F.col("kind") == LOOK), parts, buckets)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
@@ -416,7 +435,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(key_, table_: pa.Table, blobs: pa.Table) -> pa.Table:
-        spans = np.frombuffer(b"".join(blobs.column("blob").to_pylist()), SPAN)
+        spans = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
         spans = spans[np.lexsort((spans["at"], spans["tag"], spans["doc"]))]
         new = np.flatnonzero(np.append(True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1]))) if len(spans) else []
         of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
