@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -34,12 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of tables written by the stage of a pipeline that runs now; None outside of one.
+_STAGE: list[str] | None = None
+#: Those of stages before it.
+_EARLIER: list[tuple[SparkSession, str]] = []
+
+
+@contextlib.contextmanager
+def stage(spark: SparkSession, docs: DataFrame):
+    """Within it, tables of written() belong to a stage of a pipeline over docs; tables of earlier stages that docs does not read go.
+
+    A stage's result is written before the next one begins, so nothing else reads them.
+    """
+    global _STAGE
+    needed = "\n".join(docs.inputFiles()) if _EARLIER else ""
+    for session, path in [*_EARLIER]:
+        if path.rpartition("/")[2] not in needed:
+            _delete(session, path)
+            _EARLIER.remove((session, path))
+    freed(spark)
+    _STAGE = []
+    try:
+        yield
+    finally:
+        _EARLIER.extend((spark, path) for path in _STAGE)
+        _STAGE = None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/subtide-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    if _STAGE is not None:
+        _STAGE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._subtide_path = path
     return out
@@ -50,9 +85,7 @@ def dropped(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_subtide_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _delete(df.sparkSession, path)
 
 
 def freed(spark: SparkSession) -> None:
