@@ -7,11 +7,13 @@ through all stages.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.llm import bpe, langid, mixing, neardup, repeats
-from subtide.llm.common import table, tune, without, written
+from subtide.llm.common import stage, table, tune, without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +23,18 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("tag", F.xxhash64("text"))
 
 
+def _stage(f):
+    """A stage whose helper tables go when the next one begins."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage(spark, docs):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is in no language of the model; the source is the host, lang the declared language."""
     tune(spark)
@@ -30,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(tagged, found.filter("rejected"), ["doc_id", "tag"]).select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class, that with the smallest doc_id."""
     tagged = _tagged(docs)
@@ -39,18 +54,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return (kept.dropDuplicates(["doc_id", "tag"]) if again else kept).select(*COLUMNS)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes and more that a document with a smaller doc_id holds too."""
     left = repeats.remove_repeats(docs.select(*COLUMNS), keep=["doc_id", "lang", "source"], as_text=True)
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the curriculum takes them, each as often as it takes it, in training order."""
     sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
     return mixing.mix(sized, "doc_id", "source", "size").select(*COLUMNS)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mixed documents, with a digest of what they decode to."""
     path = bpe.vocabulary()
@@ -73,8 +91,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = written(docs)
     return docs
