@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subtide.llm.common import table, tune, written
+from subtide.llm.common import dropped, table, tune, written
 
 # The template's control strings.
 CONTROL = ["[INST]", "[/INST]", "<s>", "</s>"]
@@ -84,17 +84,16 @@ def branches(messages: DataFrame, tree: str = "tree", node: str = "node", parent
     up = rows.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
     # a node's way: its nodes from below the place it has reached down to itself; those that have reached a root are done
     ways = written(up.select("tree", "node", F.col("p").alias("up"), F.array("node").alias("way"), F.col("s").alias("total")))
-    done = ways.filter(F.col("up").isNull())
     while ways.filter(F.col("up").isNotNull()).limit(1).count():
-        going = ways.filter(F.col("up").isNotNull())
-        far = done.unionByName(going).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("total").alias("total2"))
+        going, done = ways.filter(F.col("up").isNotNull()), ways.filter(F.col("up").isNull())
+        far = ways.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("total").alias("total2"))
         # what has reached a node in a ring finds it gone
         step = going.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
         step = step.select("tree", "node", F.col("up2").alias("up"), F.concat("way2", "way").alias("way"), (F.col("total") + F.col("total2")).alias("total"))
         # a way that meets itself is in or below a ring
-        ways = written(step.filter(F.size("way") == F.size(F.array_distinct("way"))))
-        done = done.unionByName(ways.filter(F.col("up").isNull()))
-    ways = done
+        further = written(done.unionByName(step.filter(F.size("way") == F.size(F.array_distinct("way")))))
+        dropped(ways)
+        ways = further
     inner = rows.filter(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = ways.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     leaves = leaves.withColumn("mean", F.col("total") / F.size("way"))
