@@ -437,8 +437,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     def finish(key_, table_: pa.Table, blobs: pa.Table) -> pa.Table:
         spans = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
         spans = spans[np.lexsort((spans["at"], spans["tag"], spans["doc"]))]
-        new = np.flatnonzero(np.append(True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1]))) if len(spans) else []
-        of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
+        of = {}
+        if len(spans):
+            new = np.flatnonzero(np.append(True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1])))
+            of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
         kept, runs = [], []
         for d, t, raw in zip(table_.column("__doc").to_pylist(), table_.column("__tag").to_pylist(), table_.column("__data"), strict=True):
             left, cuts = cut(raw.as_py(), of.get((d, t & 0xFFFFFFFF), spans[:0]))
