@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
@@ -94,6 +96,25 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """run(batches), with a trim at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle is dealt into; follows the session's setting, which follows the data."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -28,14 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import freed, mix64, partitions, table, tune, written
+from subtide.llm.common import freed, mix64, partitions, table, trim, trimmed, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
 #: Bytes that are hashed at once; longer documents go in overlapping pieces. Entries that a task holds before it passes them on.
-PIECE, HOLD = 1 << 18, 1 << 19
+PIECE, HOLD = 1 << 17, 1 << 19
 #: Bits of the bitmap of repeated triggers; documents of a bucket in the steps that need texts.
-LEAST_BITS, MOST_BITS, BUCKET_DOCS = 16, 28, 192
+LEAST_BITS, MOST_BITS, BUCKET_DOCS = 16, 28, 96
 
 _R = 0x9E3779B97F4A7C15
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -273,10 +273,10 @@ def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> np.ndarray:
             slice_[slots.astype(np.int64)] = 1
             yield _batch([(part, 0, np.packbits(slice_, bitorder="little").tobytes())])
 
-    sent = rows.mapInArrow(send, BLOBS).repartition(parts, "part").sortWithinPartitions("part")
+    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part")
     whole = np.zeros(1 << (bits - 3), np.uint8)
     width = len(whole) // parts
-    for r in sent.mapInArrow(meet, BLOBS).toLocalIterator():
+    for r in sent.mapInArrow(trimmed(meet), BLOBS).toLocalIterator():
         whole[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["blob"], np.uint8)
     return whole
 
@@ -308,7 +308,7 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
                 x[k] = got[k][hit]
             held.append(x)
             n += len(x)
-            if n >= HOLD // 4:
+            if n >= HOLD // 2:
                 yield from out()
                 held, n = [], 0
         if n:
@@ -329,8 +329,8 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             look = ~lost & several[np.cumsum(start_t) - 1]
             yield from _rows(spans_out(as_spans(x[look]), LOOK, buckets))
 
-    sent = rows.mapInArrow(send, BLOBS).repartition(parts, "part", "kind").sortWithinPartitions("part", "kind")
-    return sent.mapInArrow(meet, BLOBS)
+    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(2 * partitions(rows.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
+    return sent.mapInArrow(trimmed(meet), BLOBS)
 
 
 def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int) -> DataFrame:
@@ -371,6 +371,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
         out = spans_out(joined_spans(as_spans(x[lost], WINDOW)), COVERED, buckets)
         x = x[~lost]
         out += [(p, ASK, packed(y)) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)]
+        trim()
         return pa.Table.from_batches([_batch(out)]) if out else none
 
     def meet(batches):
@@ -383,7 +384,8 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
             yield from _rows(spans_out(joined_spans(as_spans(x[order][lost], WINDOW)), COVERED, buckets))
 
     sent = texts.groupBy("__bucket").cogroup(looked.groupBy("part")).applyInArrow(send, BLOBS)
-    return sent.repartition(parts, "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(meet, BLOBS)
+    dealt = sent.repartition(2 * partitions(texts.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(trimmed(meet), BLOBS)
 
 
 def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -418,7 +420,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     spark = tune(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     n = docs.count()
-    parts = 1 << max(4, min(14, (partitions(spark) * 2 - 1).bit_length()))
+    parts = 1 << max(4, min(14, (partitions(spark) * 8 - 1).bit_length()))
     bits = max(LEAST_BITS, parts.bit_length() + 3, min(MOST_BITS, n.bit_length() + 9))
     buckets = _prime(n // BUCKET_DOCS)
     data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
@@ -429,7 +431,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     found = written(find_phrases(rows, bitmap, bits, parts, buckets))
     freed(spark)
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"), F.coalesce(F.pmod(doc, F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
-    more = find_windows(texts, found.filter(F.col("kind") == LOOK), parts, buckets)
+    few = 1 << max(3, (partitions(spark) - 1).bit_length())  # a bucket sends a blob a part
+    more = find_windows(texts, found.filter(F.col("kind") == LOOK), few, buckets)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
     schema = texts.select(*keep).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
