@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from subtide.llm.common import table, tune
+from subtide.llm.common import table, trimmed, tune
 
 #: Distinct words whose ids a worker keeps; only saves time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of results in one Arrow batch.
 BATCH_BYTES = 4 << 20
 INFINITE = 1 << 62
@@ -107,11 +107,6 @@ class Coder:
         self.splitter = pre_tokenizers.Split(Regex(self.spec.split), "removed", invert=True)
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.spec.special, key=len, reverse=True))) + ")") if special else None
-        texts = [t.encode() for t in self.spec.tokens]
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        self.blob = b"".join(texts)
-        self.pieces = [self.blob[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)]
-
     def _edge(self, n: int) -> None:
         for edges, side in ((self.right_edge, 1), (self.left_edge, 0)):
             steps, at = [], n
@@ -235,19 +230,29 @@ class Coder:
         ids = self.spec.special
         return b"".join(np.array([ids[p]], "<u4").tobytes() if p in ids else self._plain(p) for p in self.specials.split(text))
 
+
+class Decoder:
+    """Token texts in one blob, cut by an offset table; needs none of the encoder's tables."""
+
+    def __init__(self, spec: Spec) -> None:
+        texts = [t.encode() for t in spec.tokens]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).tolist()
+        blob = b"".join(texts)
+        self.pieces = [blob[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
     def decode(self, ids: bytes | None) -> bytes:
         pieces = self.pieces
         return b" ".join([pieces[n] for n in np.frombuffer(ids or b"", "<u4").tolist()])
 
 
-_CODERS: dict[str, Coder] = {}
+_MADE: dict[tuple[str, type], Coder | Decoder] = {}
 
 
-def _coder(path: str, shared) -> Coder:
-    """The worker's coder, built once from the broadcast vocabulary."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(shared.value)
-    return _CODERS[path]
+def _made(kind: type, path: str, shared):
+    """The worker's coder or decoder, built once from the broadcast vocabulary."""
+    if (path, kind) not in _MADE:
+        _MADE[path, kind] = kind(shared.value)
+    return _MADE[path, kind]
 
 
 def _mapped(df: DataFrame, column: str, to: str, kind: str, path: str, method: str, keep: list[str]) -> DataFrame:
@@ -260,7 +265,7 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, path: str, method: s
     schema = plain.drop("__value").schema.add(to, kind)
 
     def run(batches):
-        apply = getattr(_coder(path, shared), method)
+        apply = getattr(_made(Coder if method == "encode" else Decoder, path, shared), method)
         for batch in batches:
             rest, values = batch.drop_columns(["__value"]), batch.column(batch.num_columns - 1)
             done, size, start = [], 0, 0
@@ -272,7 +277,7 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, path: str, method: s
                     yield pa.RecordBatch.from_arrays([*rest.slice(start, len(done)).columns, got.cast(out_type)], [*rest.schema.names, to])
                     done, size, start = [], 0, n + 1
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(trimmed(run), schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subtide.llm.common import table, tune, written
+from subtide.llm.common import table, trimmed, tune, written
 
 #: Bound of the labelled sample, of the languages of a model, and of trigrams hashed.
 TRAIN_ROWS, MOST_LANGUAGES, FEATURES = 3000, 64, 1 << 16
@@ -106,7 +106,7 @@ def text_evidence(rows: DataFrame, text: str, keep: list[str], model: tuple[list
             listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed, pa.array(counts)], schema.fieldNames())
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(trimmed(run), schema)
 
 
 def softmax(x: Column) -> Column:

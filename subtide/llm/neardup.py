@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import dropped, mix64, partitions, table, tune, written
+from subtide.llm.common import dropped, mix64, partitions, table, trimmed, tune, written
 from subtide.llm.components import components
 from subtide.llm.repeats import HOLD, grouped, split_by
 
@@ -33,7 +33,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 FAR, STRAY = 0.25, 0.01
 #: Nodes of a block: at least so many; a component has so many blocks until they have reached the most.
 BLOCK, BLOCKS, MOST_BLOCK = 128, 16, 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> Dat
                 signs.append(signature(sh, factors, rows).tobytes() if len(sh) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["key", "node", "bands"])
 
-    return plain.mapInArrow(run, "key long, node long, bands binary")
+    return plain.mapInArrow(trimmed(run), "key long, node long, bands binary")
 
 
 PAIR = np.dtype([("h", "<u8"), ("node", "<i8")])
@@ -183,8 +183,8 @@ def meetings(sketched: DataFrame, bands: int, parts: int) -> DataFrame:
         for one in rest:
             yield pa.RecordBatch.from_arrays([one.column(3), one.column(4)], ["a", "b"])
 
-    sent = sketched.select("key", "node", "bands").mapInArrow(send, "part int, kind int, blob binary, a long, b long")
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, "a long, b long").distinct()
+    sent = sketched.select("key", "node", "bands").mapInArrow(trimmed(send), "part int, kind int, blob binary, a long, b long")
+    return sent.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(trimmed(meet), "a long, b long").distinct()
 
 
 def common(sets: list[np.ndarray], split: int | None) -> np.ndarray:
@@ -260,7 +260,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         if held and (got := decide(held)) is not None:
             yield got
 
-    return sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(run, "node long, root long, links long")
+    return sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(trimmed(run), "node long, root long, links long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                 out.append(sh.astype("<u8").tobytes() if node_of(sh) == node else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.binary())], ["label", "node", "rows", "blocks", "block", "sh"])
 
-    sets = found.mapInArrow(run, "label long, node long, rows long, blocks int, block int, sh binary").filter(F.col("sh").isNotNull())
+    sets = found.mapInArrow(trimmed(run), "label long, node long, rows long, blocks int, block int, sh binary").filter(F.col("sh").isNotNull())
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sets = sets.withColumn("other", other).select(F.col("label").alias("comp"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "rows", "sh")
     links = written(verified(sets, threshold))

@@ -164,7 +164,7 @@ def _rows(items: list[tuple[int, int, bytes]]):
     for item in items:
         out.append(item)
         size += len(item[2])
-        if size >= 4 << 20:
+        if size >= 1 << 20:
             yield _batch(out)
             out, size = [], 0
     if out:
@@ -328,6 +328,7 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(start_t)) > 1
             look = ~lost & several[np.cumsum(start_t) - 1]
             yield from _rows(spans_out(as_spans(x[look]), LOOK, buckets))
+            trim()
 
     sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(2 * partitions(rows.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
     return sent.mapInArrow(trimmed(meet), BLOBS)
@@ -382,6 +383,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
             x = np.frombuffer(unpacked(blobs), WINDOWS)
             order, _, lost = beaten([x["t"], x["w"]], x["doc"])
             yield from _rows(spans_out(joined_spans(as_spans(x[order][lost], WINDOW)), COVERED, buckets))
+            trim()
 
     sent = texts.groupBy("__bucket").cogroup(looked.groupBy("part")).applyInArrow(send, BLOBS)
     dealt = sent.repartition(2 * partitions(texts.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
@@ -431,7 +433,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     found = written(find_phrases(rows, bitmap, bits, parts, buckets))
     freed(spark)
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"), F.coalesce(F.pmod(doc, F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
-    few = 1 << max(3, (partitions(spark) - 1).bit_length())  # a bucket sends a blob a part
+    few = 1 << max(3, (partitions(spark) * 4 - 1).bit_length())  # a bucket sends a blob a part
     more = find_windows(texts, found.filter(F.col("kind") == LOOK), few, buckets)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
     schema = texts.select(*keep).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())
@@ -450,6 +452,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             runs.append([{"start": a, "end": z} for a, z in cuts])
         out = table_.select(keep)
+        trim()
         return out.append_column("kept", pa.array(kept, pa.string() if as_text else pa.binary())).append_column("spans", pa.array(runs, arrow_spans))
 
     return texts.groupBy("__bucket").cogroup(covered.groupBy("part")).applyInArrow(finish, schema)

@@ -61,7 +61,7 @@ def test_bpe(spark):
     got = bpe.decode(bpe.encode(docs(spark), path), path).collect()
     assert len(got) == len(TEXTS) and {r["doc_id"] for r in got if not r["ids"]} == {2, 3, 4, None}
     assert bpe.encode(empty(spark), path).count() == 0
-    coder = bpe.Coder(bpe.Spec.read(path))
+    coder, decoder = bpe.Coder(bpe.Spec.read(path)), bpe.Decoder(bpe.Spec.read(path))
     from tokenizers import Tokenizer
 
     lib, rng = Tokenizer.from_file(path), random.Random(2)
@@ -69,7 +69,7 @@ def test_bpe(spark):
         text = "".join(rng.choice("abcdeinrst'éß日1 <|endoftext|>\x1c ΣİA") for _ in range(rng.randrange(30)))
         ids = np.frombuffer(coder.encode(text), "<u4").tolist()
         assert ids == lib.encode(text, add_special_tokens=False).ids
-        assert coder.decode(coder.encode(text)).decode() == lib.decode(ids, skip_special_tokens=False)
+        assert decoder.decode(coder.encode(text)).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
 def classes_by_force(rows):
