@@ -89,6 +89,7 @@ def text_evidence(rows: DataFrame, text: str, keep: list[str], model: tuple[list
     spark = tune(rows.sparkSession)
     shared = spark.sparkContext.broadcast(model[1])
     width = len(model[0])
+    keep = [c for c in keep if c not in ("evidence", "n_letters3")]
     plain = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = plain.drop("__text").schema.add("evidence", T.ArrayType(T.DoubleType())).add("n_letters3", "long")
 

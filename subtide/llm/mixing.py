@@ -84,6 +84,8 @@ def streams(docs: DataFrame, key: str, source: str, size: str, schedules: list[S
     """
     spark = tune(docs.sparkSession)
     schedules = schedules or CURRICULUM
+    # columns of the result replace those of the same names
+    docs = docs.drop(*[c for c in ("source_size", "target", "copies", "positions", "position", "place") if c not in (key, source, size)])
     base = docs.withColumns({"__size": F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0).cast("long")), "__order": hash_order(F.col(f"`{key}`"))})
     light = base.select(F.col(f"`{source}`").alias("source"), "__size", "__order")
     per_source = light.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n"))

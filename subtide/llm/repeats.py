@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     as_text: kept is a string, without the bytes of characters that a cut has split.
     """
     spark = tune(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "kept", "spans")]
     n = docs.count()
     parts = 1 << max(4, min(14, (partitions(spark) * 8 - 1).bit_length()))
     bits = max(LEAST_BITS, parts.bit_length() + 3, min(MOST_BITS, n.bit_length() + 9))

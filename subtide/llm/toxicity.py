@@ -164,7 +164,7 @@ SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")
 def score(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep columns, score (0 to 1) and offending (spans of sentences)."""
     spark = tune(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "score", "offending")]
     shared = spark.sparkContext.broadcast(model)
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = plain.drop("__text").schema.add("score", "double").add("offending", SPANS)

@@ -15,7 +15,7 @@ TEXTS = [(1, LONG), (2, None), (3, ""), (4, " \n\t"), (5, LONG + " end"), (6, "o
 
 def docs(spark, rows=TEXTS):
     out = spark.createDataFrame(rows, "doc_id long, text string")
-    return out.withColumns({"lang": F.when(F.col("doc_id") < 6, "en"), "source": F.when(F.col("doc_id") != 6, "s"), "node": F.lit(1), "label": F.lit("x"), "part": F.lit(2), "key": F.lit(0), "size": F.lit(3)})
+    return out.withColumns({"lang": F.when(F.col("doc_id") < 6, "en"), "source": F.when(F.col("doc_id") != 6, "s"), "node": F.lit(1), "label": F.lit("x"), "part": F.lit(2), "key": F.lit(0), "size": F.lit(3), "score": F.lit(1), "kept": F.lit(1), "spans": F.lit(1), "ids": F.lit(1), "evidence": F.lit(1)})
 
 
 def empty(spark):
@@ -149,7 +149,7 @@ def test_vectors(spark, engine):
 
 def test_mixing(spark):
     rows = [(n, ("w " * (n % 9)).strip(), f"s{n % 5}" if n % 5 else None) for n in range(500)] + [(3, "a b c", "s3")] * 2
-    made = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": mixing.word_count(F.col("text")), "target0": F.lit(1), "place0": F.lit(1)})
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": mixing.word_count(F.col("text")), "target": F.lit(1), "place": F.lit(1), "copies": F.lit(9)})
     got = mixing.streams(made, "doc_id", "source", "size").collect()
     assert len(got) == len(rows)
     for s in {r["source"] for r in got}:
