@@ -4,7 +4,7 @@ A rolling hash chooses triggers: of the TRIGGER-byte strings in a window of WIND
 is the window's trigger. Neighbouring windows with one trigger form a phrase, so a text is parsed into phrases that
 depend on content alone and repeat wherever the text repeats. As in a suffix array made of a dictionary and a parse,
 a suffix is known by its phrase and its place in it; since only equality of the first WINDOW bytes matters, sorted
-64-bit hashes (of trigger, phrase and window; two agree by chance in one of 2^128 pairs) stand for the lexical ranks.
+hashes (64 bits of the trigger and 48 of the phrase or window; two agree by chance in one of 2^112 pairs) stand for the lexical ranks.
 
 1. All triggers, packed by hash range: which occur twice? The answer is a bitmap of fixed size (at most 2^28 bits);
    where it is too small for the data it lets more through to the next step, and nothing is lost.
@@ -41,6 +41,8 @@ _R = 0x9E3779B97F4A7C15
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[str, np.ndarray] = {}
 
+#: Bits of the second hash of a phrase or window, beside its trigger's 64.
+SECOND = np.uint64((1 << 48) - 1)
 ENTRY = np.dtype([("t", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("cover", "u1"), ("anchor", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("cover", "<u4"), ("anchor", "u1")])
 WINDOWS = np.dtype([("t", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4")])
@@ -121,7 +123,7 @@ def pieces_of(batches, doc: int = 0, tag: int = 1, data: int = 2):
             for base in range(0, max(1, len(raw) - WINDOW + 1), PIECE):
                 part = raw[base : base + PIECE + WINDOW - 1]
                 docs.append(d)
-                tags.append(t & 0xFFFFFFFF)
+                tags.append(t & 0xFFFF)
                 bases.append(base)
                 pieces.append(part)
                 size += len(part)
@@ -304,8 +306,9 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             x = np.zeros(len(hit), ENTRY)
             piece = got["piece"][hit]
             x["doc"], x["tag"], x["at"] = docs[piece], tags[piece], got["at"][hit] + bases[piece]
-            for k in ("t", "e", "cover", "anchor"):
+            for k in ("t", "cover", "anchor"):
                 x[k] = got[k][hit]
+            x["e"] = got["e"][hit] & SECOND
             held.append(x)
             n += len(x)
             if n >= HOLD // 2:
@@ -343,7 +346,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
         if not blobs.num_rows or not docs.num_rows:
             return none
         look = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
-        raw = {(d, t & 0xFFFFFFFF): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
+        raw = {(d, t & 0xFFFF): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
         data = docs.column("__data")
         contexts, last, text = [], None, b""
         look = look[np.lexsort((look["at"], look["tag"], look["doc"]))]
@@ -362,7 +365,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
             offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             x = np.zeros(len(which), WINDOWS)
             here = look[a : a + 4096]
-            x["w"] = hashes.of(starts[which] + offset, WINDOW)
+            x["w"] = hashes.of(starts[which] + offset, WINDOW) & SECOND
             x["t"] = hashes.of(starts + here["anchor"], TRIGGER)[which]
             x["doc"], x["tag"], x["at"] = here["doc"][which], here["tag"][which], here["at"][which] + offset
             items.append(x)
@@ -448,7 +451,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
             of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
         kept, runs = [], []
         for d, t, raw in zip(table_.column("__doc").to_pylist(), table_.column("__tag").to_pylist(), table_.column("__data"), strict=True):
-            left, cuts = cut(raw.as_py(), of.get((d, t & 0xFFFFFFFF), spans[:0]))
+            left, cuts = cut(raw.as_py(), of.get((d, t & 0xFFFF), spans[:0]))
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             runs.append([{"start": a, "end": z} for a, z in cuts])
         out = table_.select(keep)
