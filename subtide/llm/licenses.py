@@ -1,10 +1,13 @@
 """License scans by sentence rules; DataFrame functions only, one pass over the rows and no shuffle.
 
-A text is cut into sentences at line ends and after . ! ? ; : followed by white space. Each sentence is
-normalised (ASCII lower case; runs of anything but letters a-z and digits become one space) and mapped to the
-identifier of a known licence sentence; others drop out. The sequence of identifiers is then matched against
-the ordered rules: a rule names a licence by a run of neighbouring identifiers, and what it matches is used up,
-so a later, shorter rule sees only the rest.
+A text is normalised: ASCII lower case; runs of anything but letters a-z and digits become one space. Blank lines
+and . ! ? before white space are hard borders; single line ends and ; : before white space are soft ones. A known
+licence sentence begins and ends at borders of either kind and may run over soft ones, as in wrapped text; the longest
+sentence from a border counts, and what is between sentences drops out. The sequence of identifiers is then matched
+against the ordered rules: a rule names a licence by a run of neighbouring identifiers, and what it matches is used
+up, so a later, shorter rule sees only the rest.
+
+The SQL cuts at every border and so finds no sentence that runs over one; without such sentences both agree.
 
 Null and empty texts have no sentence and no licence. Every row gives one result; repeated rows repeat it.
 """
@@ -43,7 +46,7 @@ SENTENCES: dict[str, list[str]] = {
     "BSDbinary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "BSDendorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "ISCgrant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "Reserved": ["all rights reserved under copyright", "copyright all rights reserved"],
+    "Reserved": ["all rights reserved", "all rights reserved under copyright", "copyright all rights reserved"],
     "SpdxMIT": ["spdx license identifier mit"],
     "SpdxApache2": ["spdx license identifier apache 2 0"],
     "SpdxGPL3": ["spdx license identifier gpl 3 0 only"],
@@ -60,7 +63,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-2.0-or-later", ["GPLfree2", "GPLwarranty", "GPLcopy"]),
     ("GPL-3.0-or-later", ["GPLfree3"]),
     ("GPL-2.0-or-later", ["GPLfree2"]),
+    ("BSD-3-Clause", ["Reserved", "BSDcond", "BSDsource", "BSDbinary", "BSDendorse"]),
     ("BSD-3-Clause", ["BSDcond", "BSDsource", "BSDbinary", "BSDendorse"]),
+    ("BSD-2-Clause", ["Reserved", "BSDcond", "BSDsource", "BSDbinary"]),
     ("BSD-2-Clause", ["BSDcond", "BSDsource", "BSDbinary"]),
     ("ISC", ["ISCgrant"]),
     ("MIT", ["MITref"]),
@@ -79,8 +84,9 @@ RULES: list[tuple[str, list[str]]] = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Each known sentence holds one of these; a text without them needs no cutting.
-MARKS = ["licen", "permi", "warrant", "copyright", "redistribut"]
-CUT, JUNK = r"([.!?;:])[ \t\r\f]+", r"[^a-z0-9\n]+"
+MARKS = ["licen", "permi", "warrant", "copyright", "redistribut", "reserved"]
+#: In order: what is replaced and by what. Capitals stand for borders, H for hard and S for soft ones.
+BORDERS = [(r"\r\n?", "\n"), (r"[.!?](?=\s|$)", "H"), (r"[;:](?:[ \t\f]*\n|(?=\s|$))|\n", "S"), (r"[^a-z0-9HS]+", " "), (r" ?([HS]) ?", "$1"), (r"SS+", "H"), (r"^ | $", "")]
 
 
 def sentence_ids(text: Column) -> Column:
@@ -88,8 +94,12 @@ def sentence_ids(text: Column) -> Column:
     known = {s: k for k, all_of in SENTENCES.items() for s in all_of}
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.translate(text, UPPER, LOWER)
-    lines = F.split(F.regexp_replace(F.regexp_replace(F.replace(low, F.lit("\r"), F.lit("\n")), CUT, "$1\n"), JUNK, " "), "\n")
-    found = F.filter(F.transform(lines, lambda s: F.try_element_at(names, F.trim(s))), lambda k: k.isNotNull())
+    bordered = low
+    for what, by in BORDERS:
+        bordered = F.regexp_replace(bordered, what, by)
+    any_of = "|".join(s.replace(" ", "[ S]") for s in sorted(known, key=len, reverse=True))
+    runs = F.regexp_extract_all(bordered, F.lit(f"(?<=^|[HS])(?:{any_of})(?=$|[HS])"), F.lit(0))
+    found = F.transform(runs, lambda s: F.element_at(names, F.replace(s, F.lit("S"), F.lit(" "))))
     return F.when(low.rlike("|".join(MARKS)), found).otherwise(F.array().cast("array<string>"))
 
 
