@@ -16,7 +16,8 @@ hashes (64 bits of the trigger and 48 of the phrase or window; two agree by chan
 Occurrences are combined per task before every shuffle (one per phrase or window survives), so a passage that a third of all
 documents share is as many rows as there are tasks. A group meets only in sorted arrays; no pairs are made.
 
-Null texts are empty. Texts under WINDOW bytes have no window. Rows with one doc_id don't remove from each other.
+Null texts are empty. Texts under WINDOW bytes have no window. Rows with one doc_id don't remove from each other;
+a tag tells them apart: the 64-bit hash of the text where a doc_id has several rows, else 0, which takes no disk.
 Rows with null doc_id keep all and remove nothing. An empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import freed, mix64, partitions, table, trim, trimmed, tune, written
+from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trim, trimmed, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
@@ -43,9 +44,11 @@ _POWERS: dict[str, np.ndarray] = {}
 
 #: Bits of the second hash of a phrase or window, beside its trigger's 64.
 SECOND = np.uint64((1 << 48) - 1)
-ENTRY = np.dtype([("t", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("cover", "u1"), ("anchor", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("cover", "<u4"), ("anchor", "u1")])
-WINDOWS = np.dtype([("t", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4")])
+#: Bits of a tag, which Spark holds as a signed number.
+ALL = (1 << 64) - 1
+ENTRY = np.dtype([("t", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("at", "<u4"), ("cover", "u1"), ("anchor", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("at", "<u4"), ("cover", "<u4"), ("anchor", "u1")])
+WINDOWS = np.dtype([("t", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("at", "<u4")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +126,15 @@ def pieces_of(batches, doc: int = 0, tag: int = 1, data: int = 2):
             for base in range(0, max(1, len(raw) - WINDOW + 1), PIECE):
                 part = raw[base : base + PIECE + WINDOW - 1]
                 docs.append(d)
-                tags.append(t & 0xFFFF)
+                tags.append(t & ALL)
                 bases.append(base)
                 pieces.append(part)
                 size += len(part)
                 if size >= PIECE:
-                    yield np.array(docs, np.int64), np.array(tags, np.uint32), np.array(bases, np.int64), pieces
+                    yield np.array(docs, np.int64), np.array(tags, np.uint64), np.array(bases, np.int64), pieces
                     docs, tags, bases, pieces, size = [], [], [], [], 0
     if pieces:
-        yield np.array(docs, np.int64), np.array(tags, np.uint32), np.array(bases, np.int64), pieces
+        yield np.array(docs, np.int64), np.array(tags, np.uint64), np.array(bases, np.int64), pieces
 
 
 def split_by(part: np.ndarray, values: np.ndarray):
@@ -346,7 +349,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int)
         if not blobs.num_rows or not docs.num_rows:
             return none
         look = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
-        raw = {(d, t & 0xFFFF): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
+        raw = {(d, t & ALL): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
         data = docs.column("__data")
         contexts, last, text = [], None, b""
         look = look[np.lexsort((look["at"], look["tag"], look["doc"]))]
@@ -417,6 +420,18 @@ def _prime(n: int) -> int:
     return n
 
 
+def with_tags(rows: DataFrame) -> DataFrame:
+    """rows (__doc, __data) with __tag: the hash of the text where __doc has several rows, or where very many do, of all; else 0."""
+    several = written(rows.filter("__doc IS NOT NULL").groupBy("__doc").count().filter("count > 1").select(F.col("__doc").alias("__several")))
+    n = several.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return rows.withColumn("__tag", F.lit(0).cast("long"))
+    if n > BROADCAST_ROWS:
+        return rows.withColumn("__tag", F.xxhash64("__data"))
+    found = rows.join(F.broadcast(several), rows["__doc"] == several["__several"], "left")
+    return found.withColumn("__tag", F.when(F.col("__several").isNotNull(), F.xxhash64("__data")).otherwise(F.lit(0).cast("long"))).drop("__several")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """keep columns, kept (bytes left of each text) and spans (the removed runs, in bytes of the text).
 
@@ -430,12 +445,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     buckets = _prime(n // BUCKET_DOCS)
     data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
     doc = F.col(f"`{key}`").cast("long")
-    rows = docs.select(doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"))
+    tagged = with_tags(docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), data.alias("__data")))
+    rows = tagged.select("__doc", "__tag", "__data")
     bitmap = repeated_triggers(rows, bits, parts)
     freed(spark)
     found = written(find_phrases(rows, bitmap, bits, parts, buckets))
     freed(spark)
-    texts = docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), F.crc32(data).alias("__tag"), data.alias("__data"), F.coalesce(F.pmod(doc, F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
+    texts = tagged.select(*[F.col(f"`{c}`") for c in keep], "__doc", "__tag", "__data", F.coalesce(F.pmod("__doc", F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
     few = 1 << max(3, (partitions(spark) * 4 - 1).bit_length())  # a bucket sends a blob a part
     more = find_windows(texts, found.filter(F.col("kind") == LOOK), few, buckets)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
@@ -451,7 +467,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
             of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
         kept, runs = [], []
         for d, t, raw in zip(table_.column("__doc").to_pylist(), table_.column("__tag").to_pylist(), table_.column("__data"), strict=True):
-            left, cuts = cut(raw.as_py(), of.get((d, t & 0xFFFF), spans[:0]))
+            left, cuts = cut(raw.as_py(), of.get((d, t & ALL), spans[:0]))
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             runs.append([{"start": a, "end": z} for a, z in cuts])
         out = table_.select(keep)

@@ -203,3 +203,21 @@ def test_langid(spark):
     assert all(got[n]["rejected"] for n in (100, 101, 102)) and got[103]["lang_found"] == "en"
     none = langid.fit(made.limit(0), "doc_id", "text", "lang")
     assert langid.fuse(langid.text_evidence(made.limit(0), "text", ["doc_id", "lang", "host"], none), none[0], "lang", ["host"]).count() == 0
+
+
+def test_repeats_under_one_doc_id(spark):
+    rng = random.Random(6)
+    passage = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [passage(60) for _ in range(700)]
+    # many texts under one doc_id, each with another passage of document 0 at another place, and some with none
+    rows = [(0, "|".join(shared)), (0, "nothing of it " + passage(80))] + [(9, f"{n}#{passage(rng.randrange(200))}#" + (shared[n] if n % 3 else "") + f"#{passage(40)}") for n in range(700)]
+    windows = {t[a : a + 50] for d, t in rows if d == 0 for a in range(len(t) - 49)}
+    want = Counter()
+    for d, t in rows:
+        marks = bytearray(len(t))
+        for a in range(len(t) - 49) if d else ():
+            if t[a : a + 50] in windows:
+                marks[a : a + 50] = b"\1" * 50
+        want[d, "".join(c for c, m in zip(t, marks, strict=True) if not m)] += 1
+    got = repeats.remove_repeats(docs(spark, rows), keep=["doc_id"], as_text=True).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == want
