@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subtide.functions import text as T
@@ -98,6 +99,18 @@ def q_segments(spark, d):
     return rows.select("doc_id", "idx", _ms("start_s"), _ms("end_s"))
 
 
+def _last(c: str):
+    """The greatest value of a column in the conversation."""
+    return F.max(c).over(W.partitionBy("doc_id"))
+
+
+@query("segments_to_cues_whole")
+def q_segments_whole(spark, d):
+    """Up to each conversation's own last end, moved by the offset as the segments are."""
+    rows = srt.segments_to_cues(I.cues(spark, d).withColumn("most_s", _last("end_s") + 0.5), 0.5, 2.0, "most_s")
+    return rows.select("doc_id", "pos", "idx", _ms("start_s"), _ms("end_s"))
+
+
 @query("words_of_segments")
 def q_words(spark, d):
     """Segments of seven words, every third document without words."""
@@ -355,9 +368,11 @@ def q_overlap(spark, d):
     return ranges.overlapping(I.cues(spark, d).withColumnRenamed("pos", "line_no"))
 
 
-def _ranges(spark, d):
-    c = I.plain_cues(spark, d)
-    return c.filter("k != 3").select("doc_id", F.col("pos").alias("line_no"), "start_s", F.when(F.col("k") == 5, F.col("start_s") + 4).otherwise(F.col("end_s")).alias("end_s"), F.when(F.col("pos") % 3 == 0, "ja").otherwise("ko").alias("lang"), F.lit(25.0).alias("total_s"))
+def _ranges(spark, d, whole: bool = False):
+    """whole: the time line ends with the conversation."""
+    c = I.plain_cues(spark, d).withColumn("end_s", F.when(F.col("k") == 5, F.col("start_s") + 4).otherwise(F.col("end_s")))
+    c = c.withColumn("total_s", _last("end_s") if whole else F.lit(25.0))
+    return c.filter("k != 3").select("doc_id", F.col("pos").alias("line_no"), "start_s", "end_s", F.when(F.col("pos") % 3 == 0, "ja").otherwise("ko").alias("lang"), "total_s")
 
 
 TILES = """r AS (SELECT doc_id, pos, least(start_s, 25) AS a, least(CASE WHEN k = 5 THEN start_s + 4 ELSE end_s END, 25) AS z, CASE WHEN pos % 3 = 0 THEN 'ja' ELSE 'ko' END AS lang FROM plain WHERE k <> 3),
@@ -371,6 +386,11 @@ def q_tiles(spark, d):
     return ranges.tiled(ranges.normalized(_ranges(spark, d)), "zh").select("doc_id", _ms("start_s"), _ms("end_s"), "lang")
 
 
+@query("timeline_tiling_whole")
+def q_tiles_whole(spark, d):
+    return ranges.tiled(ranges.normalized(_ranges(spark, d, whole=True)), "zh").select("doc_id", _ms("start_s"), _ms("end_s"), "lang")
+
+
 @query("merge_speech", _with(I.CUES) + """, v AS (SELECT doc_id, (greatest(start_s, 0) * 16000)::DOUBLE AS a0, pos, floor(greatest(start_s, 0) * 16000)::BIGINT AS a, floor(greatest(end_s, 0) * 16000)::BIGINT AS z FROM cues),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM v WHERE z > a),
 f(doc_id, n, a, z, run) AS (SELECT doc_id, n, a, z, 0 FROM o WHERE n = 1 UNION ALL SELECT doc_id, n, CASE WHEN j THEN pa ELSE a END, CASE WHEN j THEN greatest(pz, z) ELSE z END, CASE WHEN j THEN run ELSE run + 1 END FROM (
@@ -387,6 +407,13 @@ def q_windows(spark, d):
     return rows.select("doc_id", "pos", F.col("from_smp").cast("long").alias("from_smp"), F.col("to_smp").cast("long").alias("to_smp"))
 
 
+@query("speech_windows_whole")
+def q_windows_whole(spark, d):
+    """The audio ends with the last speech of the conversation."""
+    rows = ranges.padded(I.speech(spark, d).withColumn("n_samples", _last("end_smp")))
+    return rows.select("doc_id", "pos", F.col("from_smp").cast("long").alias("from_smp"), F.col("to_smp").cast("long").alias("to_smp"))
+
+
 # --- admission and jobs -------------------------------------------------------------------------------------------
 
 LOG = """h AS (SELECT user_id AS client, event_id AS hit_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -119,18 +119,22 @@ def exploded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode_outer("cues").alias("pos", "cue")).filter("pos is not null").select(key, "pos", "cue.*")
 
 
-def segments_to_cues(segments: DataFrame, offset: float = 0.0, min_start: float | None = None, max_end: float | None = None) -> DataFrame:
-    """Recognised segments (doc_id, pos, start_s, end_s, text) as cues, clamped, numbered over those with text."""
+def segments_to_cues(segments: DataFrame, offset: float = 0.0, min_start: float | None = None, max_end: float | str | None = None) -> DataFrame:
+    """Recognised segments (doc_id, pos, start_s, end_s, text) as cues, clamped, numbered over those with text.
+
+    max_end: seconds, or the column that has each segment's own.
+    """
     from pyspark.sql import Window as W
 
     low = lambda c: F.greatest(c, F.lit(min_start).cast("double"))
-    high = lambda c: F.least(c, F.lit(max_end).cast("double"))
+    most = F.col(f"`{max_end}`") if isinstance(max_end, str) else F.lit(max_end)
+    high = lambda c: F.least(c, most.cast("double"))
     at = lambda name: high(low(F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)) + offset))
-    out = segments.select("doc_id", "pos", at("start_s").alias("start_s"), at("end_s").alias("end_s"), strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text != ''")
+    out = segments.select("doc_id", "pos", at("start_s").alias("start_s"), at("end_s").alias("end_s"), strip(F.coalesce("text", F.lit(""))).alias("text"), most.cast("double").alias("most")).filter("text != ''")
     both = min_start is not None and max_end is not None
-    end = F.least(F.col("start_s") + 0.2, F.lit(max_end).cast("double")) if both else F.col("start_s") + 0.2
+    end = F.least(F.col("start_s") + 0.2, F.col("most")) if both else F.col("start_s") + 0.2
     if both:
-        out = out.filter((F.col("end_s") > F.col("start_s")) | (F.col("start_s") < max_end))
+        out = out.filter((F.col("end_s") > F.col("start_s")) | (F.col("start_s") < F.col("most")))
     out = out.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), end).otherwise(F.col("end_s")))
     return out.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))).select("doc_id", "pos", "idx", "start_s", "end_s", "text")
 

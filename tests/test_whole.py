@@ -40,3 +40,67 @@ def test_lenient_reads_every_document(spark, folder):
     assert got == {d: lenient(t) for d, t in docs.items()}
     assert {d % 5 for d in got} == {0, 1, 2, 3, 4} and any(":61:" in t for t in docs.values())
     assert all(got[d] == (0, 0) for d in got if d % 5 == 4) and got[32][0] == docs[32].count("-->") - 1  # one that begins after 61 minutes and ends before
+
+
+def ms(s):
+    return round(s * 1000)
+
+
+def by_doc(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["pos"])):
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+def test_segments_of_whole_conversations(spark, folder):
+    want = set()
+    for d, rows in by_doc(inputs.cues(spark, folder).collect()).items():
+        most, n = max(r["end_s"] for r in rows) + 0.5, 0
+        for r in rows:
+            a, z = (min(max(max(r[c], 0.0) + 0.5, 2.0), most) for c in ("start_s", "end_s"))
+            if not r["text"].strip() or z <= a and most <= a:
+                continue
+            n += 1
+            want.add((d, r["pos"], n, ms(a), ms(z if z > a else min(a + 0.2, most))))
+    got = [tuple(r) for r in catalog.queries()["segments_to_cues_whole"](spark, folder).collect()]
+    assert len(got) == len(want) and set(got) == want
+    spoken = {(r["doc_id"], r["pos"]) for r in inputs.cues(spark, folder).filter("trim(text) != ''").collect()}
+    lost = spoken - {(d, pos) for d, pos, *_ in got}
+    # only a conversation that ends before the least start can lose a turn
+    assert len(spoken) > 200 and all(TURNS[d] == 1 for d, _ in lost)
+
+
+def test_tiles_of_whole_conversations(spark, folder):
+    want = []
+    for d, rows in by_doc(inputs.plain_cues(spark, folder).collect()).items():
+        ends = {r["pos"]: r["start_s"] + 4 if r["k"] == 5 else r["end_s"] for r in rows}
+        total, runs = max(ends.values()), []
+        for r in rows:
+            lang = "ko" if r["pos"] % 3 else "ja"
+            if r["k"] == 3 or ends[r["pos"]] - r["start_s"] < 0.35:
+                continue
+            if runs and r["start_s"] <= runs[-1][1] and lang == runs[-1][2]:
+                runs[-1][1] = max(runs[-1][1], ends[r["pos"]])
+            else:
+                runs.append([r["start_s"], ends[r["pos"]], lang])
+        at = 0.0
+        for a, z, lang in runs:
+            want += [(d, ms(at), ms(a), "zh")] * (a > at) + [(d, ms(a), ms(z), lang)]
+            at = z
+        want += [(d, ms(at), ms(total), "zh")] * (bool(runs) and at < total)
+    got = [tuple(r) for r in catalog.queries()["timeline_tiling_whole"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and max(z for _, _, z, _ in got) > 230_000
+
+
+def test_windows_of_whole_conversations(spark, folder):
+    want = []
+    for d, rows in by_doc(inputs.speech(spark, folder).collect()).items():
+        n = max(r["end_smp"] for r in rows)
+        for r in rows:
+            a, z = max(0, r["start_smp"] - 6400), min(n, r["end_smp"] + 6400)
+            if r["end_smp"] > r["start_smp"] and z - a >= 5600:
+                want.append((d, r["pos"], a, z))
+    got = [tuple(r) for r in catalog.queries()["speech_windows_whole"](spark, folder).collect()]
+    assert sorted(got) == sorted(want)
+    assert {(d, pos) for d, pos, *_ in got} >= {(d, t) for d, n in TURNS.items() if n > 8 for t in range(n)}
