@@ -46,12 +46,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that with the smallest doc_id."""
+    """Keeps one document of each class, that with the smallest doc_id and, under one doc_id, text hash; null is the greatest."""
     tagged = _tagged(docs)
-    found = neardup.classes(docs)
-    kept = without(tagged, found.filter(F.col("class_id") != F.col("doc_id")), ["doc_id"])
+    found = neardup.classes(docs, tagged=True)
+    kept = without(tagged, found.filter(~F.col("first")), ["doc_id", "tag"])
     again = tagged.groupBy("doc_id", "tag").count().filter("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "tag"]) if again else kept).select(*COLUMNS)
+    if again:  # a text without words is a class of its own
+        worded = F.coalesce(F.col("text").rlike(mixing.WORDS), F.lit(False))
+        kept = kept.filter(worded).dropDuplicates(["doc_id", "tag"]).unionByName(kept.filter(~worded))
+    return kept.select(*COLUMNS)
 
 
 @_stage

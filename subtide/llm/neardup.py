@@ -10,6 +10,8 @@ forest of verified links leave the task. Classes are the components of verified
 
 Null and empty texts, and texts of white space only, have no n-grams: they link to nothing, each is its own class.
 Rows with equal sets link to one another. Repeated rows are rows. An empty table gives an empty result.
+A row is known by its key and the hash of its text: rows may share a key, and a null key is a key, the greatest. A class
+of null keys only has no class_id.
 """
 
 from __future__ import annotations
@@ -93,20 +95,20 @@ def _factors(n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(key, node, bands): node null for texts without words."""
-    plain = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
+    """(key, tag, node, bands): tag is the text's hash, node null for texts without words."""
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
 
     def run(batches):
         factors = _factors(bands * rows)
         for b in batches:
             nodes, signs = [], []
-            for raw in b.column(1):
+            for raw in b.column(2):
                 sh = shingles(raw.as_py())
                 nodes.append(node_of(sh) if len(sh) else None)
                 signs.append(signature(sh, factors, rows).tobytes() if len(sh) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["key", "tag", "node", "bands"])
 
-    return plain.mapInArrow(trimmed(run), "key long, node long, bands binary")
+    return plain.mapInArrow(trimmed(run), "key long, tag long, node long, bands binary")
 
 
 PAIR = np.dtype([("h", "<u8"), ("node", "<i8")])
@@ -263,29 +265,32 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(trimmed(run), "node long, root long, links long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links) of each row; class_id: the smallest key of the class."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, tagged: bool = False) -> DataFrame:
+    """(key, class_id, n_links) of each row; class_id: the smallest key of the class.
+
+    tagged: also tag, the xxhash64 of the row's text, and first, whether the row's key and tag are the least of its class.
+    """
     spark = tune(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     parts = 1 << max(4, min(14, (partitions(spark) * 2 - 1).bit_length()))
     sketched = written(sketches(docs, key, text, bands, rows))
     comp = components(meetings(sketched, bands, parts))
     # one row of each node that may link, and how many rows share its set
-    nodes = written(sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("rows")))
+    nodes = written(sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("least"), F.count("*").alias("rows")))
     members = written(comp.join(nodes, "node").select("label", "node", "least", "rows"))
     sizes = members.groupBy("label").agg(F.count("*").alias("n"))
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)))
     sizes = written(sizes.select("label", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     wanted = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("least"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
-    found = texts.join(wanted, "least").select("label", "node", "rows", "blocks", "block", "raw")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
+    found = texts.join(wanted, F.col("key").eqNullSafe(F.col("least.key")) & (F.col("tag") == F.col("least.tag"))).select("label", "node", "rows", "blocks", "block", "raw")
 
     def run(batches):
         for b in batches:
             out = []
             for raw, node in zip(b.column(5), b.column(1).to_pylist(), strict=True):
                 sh = shingles(raw.as_py())
-                # another row may have the key; its set is another
+                # another row may have the key and a text of that hash; its set is another
                 out.append(sh.astype("<u8").tobytes() if node_of(sh) == node else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.binary())], ["label", "node", "rows", "blocks", "block", "sh"])
 
@@ -296,11 +301,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     linked = components(links.filter(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b")))
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = written(named.join(least, "label").join(degree, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
-    out = sketched.select("key", "node").join(named, "node", "left")
+    least = named.groupBy("label").agg(F.min("least").alias("class"))
+    named = written(named.join(least, "label").join(degree, "node", "left").select("node", "class", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
+    out = sketched.select("key", "tag", "node").join(named, "node", "left")
     dropped(members, sizes, links, comp)
-    return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    first = F.col("node").isNull() | (F.col("key").eqNullSafe(F.col("class.key")) & (F.col("tag") == F.col("class.tag")))
+    more = [F.col("tag"), first.alias("first")] if tagged else []
+    return out.select(F.col("key").alias(key), F.coalesce("class.key", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *more)
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
