@@ -73,10 +73,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mixed documents, with a digest of what they decode to."""
+    """Token ids of the mixed documents, with a digest of what they decode to and their places in training order.
+
+    The mixture is written range-sorted, so the order is that of part and, within it, row; null if docs is in no files.
+    """
     path = bpe.vocabulary()
-    both = bpe.decode(bpe.encode(docs, path, keep=["doc_id", "lang", "source"]), path)
-    return both.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    place = [F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("row")]
+    if docs.inputFiles():
+        place = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("int").alias("part"), F.col("_metadata.row_index").alias("row")]
+    placed = docs.select("doc_id", "text", "lang", "source", *place)
+    both = bpe.decode(bpe.encode(placed, path, keep=["doc_id", "lang", "source", "part", "row"]), path)
+    return both.select("doc_id", "lang", "source", "part", "row", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -136,6 +136,12 @@ def op7_mix(spark, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_mix_order(spark, sf_dir: str) -> DataFrame:
+    """The mix of documents in training order: a row for each copy, with its position."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(docs, "doc_id", "source", "size").select("doc_id", "source", "size", "position")
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

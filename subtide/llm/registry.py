@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_licenses": licenses.op5_licenses,
         "op6_ann": ann.op6_ann,
         "op7_mix": mixing.op7_mix,
+        "op7_mix_order": mixing.op7_mix_order,
         "op8_repeats": repeats.op8_repeats,
         "op9_maxscore": maxscore.op9_maxscore,
         "op10_langid": langid.op10_langid,
