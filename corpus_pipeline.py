@@ -94,7 +94,7 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-#: Hashes, trained models and tokenizers are not SQL; tests hold the stages against brute force.
+#: Hashes, trained models and tokenizers are not SQL; tests hold the stages but the first against brute force on small tables.
 ORACLE_SQL = None
 
 
