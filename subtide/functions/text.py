@@ -10,6 +10,8 @@ SPACE = r"[\s\x1c-\x1f]"
 CJK = "[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 PUNCTUATION = "、。，．！？!?…；;：:,，"
 OPENERS, CLOSERS = r"（(\[「『【", r"）」』】)\]"
+CUT_WORDS = ("了", "嘛", "吗", "呢", "吧", "啊", "哦", "啦", "咯", "对", "没错")
+SENTENCE_END, CLAUSE_END = r"""[。．！？!?…]+["'」』）\])]*$""", r"""[、，,;；:：]+["'」』）\])]*$"""
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 QUALITY = {"min_gap": 0.084, "min_duration": 0.5, "max_duration": 10.0, "cjk_line": 24, "latin_line": 42, "lines": 2, "cjk_cps": 12.0, "latin_cps": 20.0}
 PRO = {"cjk_line": 21, "latin_line": 42, "cjk_cps": 9.0, "latin_cps": 17.0}
@@ -38,15 +40,15 @@ def contains_cjk(text: Column) -> Column:
 
 
 def sentence_end(text: Column) -> Column:
-    return strip(text).rlike(r"""[。．！？!?…]+["'」』）\])]*$""")
+    return strip(text).rlike(SENTENCE_END)
 
 
 def soft_boundary(text: Column) -> Column:
-    return strip(text).rlike(r"""[、，,;；:：]+["'」』）\])]*$""")
+    return strip(text).rlike(CLAUSE_END)
 
 
 def natural_cut(text: Column) -> Column:
-    words = strip(text).rlike("(了|嘛|吗|呢|吧|啊|哦|啦|咯|对|没错)$")
+    words = strip(text).rlike(f"({'|'.join(CUT_WORDS)})$")
     return sentence_end(text) | soft_boundary(text) | (contains_cjk(text) & words)
 
 
@@ -63,13 +65,13 @@ def flatten(text: Column) -> Column:
     out = strip(unified(text))
     out = F.regexp_replace(out, "[ \t\f\x0b]+", " ")
     out = F.regexp_replace(out, " *\n[ \n]*", "\n")
-    cjk = CJK[1:-1]
-    gone = (
-        rf"(?<=[{OPENERS}{cjk}]{SPACE}{{0,40}})\n"
-        rf"|\n(?={SPACE}*[{PUNCTUATION}{CLOSERS}{cjk}])"
-        rf"|(?<=[A-Za-z0-9]{SPACE}{{0,40}})\n(?={SPACE}*[A-Za-z0-9])"
-    )
-    out = F.regexp_replace(replaced(out, gone, ""), "\n", " ")
+    # a white space run loses its breaks by the read character before it, the one behind it, or both
+    cjk, blank = CJK[1:-1], rf"([{SPACE[1:-1]}&&[^\n]]*)"
+    behind = lambda letters: rf"(?:(?<=[{letters}])|(?!^)\G){blank}\n"
+    out = replaced(out, behind(OPENERS + cjk), "$1")
+    out = replaced(out, rf"\n(?={SPACE}*[{PUNCTUATION}{CLOSERS}{cjk}])", "")
+    out = replaced(out, behind("A-Za-z0-9") + rf"(?={SPACE}*[A-Za-z0-9])", "$1")
+    out = F.regexp_replace(out, "\n", " ")
     out = F.regexp_replace(out, " {2,}", " ")
     return strip(replaced(out, rf"{SPACE}+([{PUNCTUATION}])", "$1"))
 
@@ -105,20 +107,23 @@ FORMAT_RULES = [
 
 def format_rules() -> list:
     """Functions of the format rules, one a rule."""
-    return [lambda t, p=p, by=by: replaced(t, p, by) for p, by in FORMAT_RULES]
+    return [lambda t, p=p.replace(r"\s", SPACE), by=by: replaced(t, p, by) for p, by in FORMAT_RULES]
+
+
+_READ = "[^" + SPACE[1:]
+_COMMA = f"{_READ}{SPACE}*,{SPACE}*{_READ}"
 
 
 def chinese_punctuation(text: Column) -> Column:
     """Full-width commas beside CJK and question and exclamation marks after it.
 
-    A comma's match takes its neighbours with it, so a letter between two commas belongs to the first only; marks
-    from the private use area hold the matches while the two sides are looked at.
+    A comma's match takes its neighbours with it, so a letter between two commas belongs to the first only.
     """
-    out = replaced(text, r"(\S)(\s*),(\s*)(\S)", "$1\ue000$2,$3\ue001$4")
-    out = replaced(out, rf"({CJK})\ue000\s*,\s*\ue001", "$1，")
-    out = replaced(out, rf"\ue000\s*,\s*\ue001(?={CJK})", "，")
-    out = F.translate(out, "\ue000\ue001", "")
-    out = replaced(out, rf"({CJK})\s*,\s*$", "$1，")
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?U){_COMMA}|[\s\S]"), F.lit(0))
+    beside = rf"^(?:{CJK}{SPACE}*,|{_READ}{SPACE}*,{SPACE}*{CJK}$)"
+    wide = F.transform(pieces, lambda p: F.when((F.length(p) > 1) & p.rlike("(?U)" + beside), replaced(p, f"^({_READ}){SPACE}*,{SPACE}*({_READ})$", "$1，$2")).otherwise(p))
+    out = F.when(F.contains(text, F.lit(",")), F.array_join(wide, "")).otherwise(text)
+    out = replaced(out, rf"({CJK}){SPACE}*,{SPACE}*$", "$1，")
     return F.regexp_replace(F.regexp_replace(out, rf"(?<={CJK})\?", "？"), rf"(?<={CJK})!", "！")
 
 

@@ -20,7 +20,11 @@ def cleaned(spark, text, language="zh", contextual=False, terms=None):
 
 def test_flatten_native_equals_kernel(spark):
     rng = random.Random(7)
-    texts = ["".join(rng.choice("ab1 \n\n,。一吗(」　.?-") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    texts = ["".join(rng.choice("ab1 \n\n,。一吗(」　.?-!\ue000\ue001\x1c\U0001f600") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    # white space runs of any length, with breaks in them
+    for _ in range(300):
+        gap = "".join(rng.choice(["　" * rng.randrange(1, 90), "\n", " " * rng.randrange(1, 60), "\x1d"]) for _ in range(rng.randrange(1, 5)))
+        texts.append("".join(rng.choice("ab1,一(」.?") + gap for _ in range(rng.randrange(1, 4))) + rng.choice("ab1,一(」.?"))
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.flatten(F.col("t")).alias("f"), T.chinese_punctuation(T.flatten(F.col("t"))).alias("z")).collect()
     for r in rows:
         assert r["f"] == K.flatten(r["t"]), repr(r["t"])
