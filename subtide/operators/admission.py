@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subtide.operators.folds import fold
+from subtide.operators.folds import scan
 
 # Requests a window, seconds of a window, a finished job's life, a running job's.
 REQUESTS, WINDOW_S, JOB_S, RUNNING_S = 10, 60, 3600, 2100
@@ -32,11 +32,13 @@ def admit(held: deque, at_us: int, requests: int, window_us: int) -> bool:
 def admissions(hits: DataFrame, requests: int = REQUESTS, window_s: int = WINDOW_S) -> DataFrame:
     """hits (client, hit_id, t_us) with accepted. A window count would be wrong, as refused requests don't count."""
 
-    def run(key, rows):
+    window_us = window_s * 1_000_000
+
+    def start():
         held: deque = deque()
-        return [{"client": key, "hit_id": r["hit_id"], "t_us": r["t_us"], "accepted": admit(held, r["t_us"], requests, window_s * 1_000_000)} for r in rows]
+        return lambda rows: [admit(held, t, requests, window_us) for t in rows.column("t_us").to_pylist()]
 
-    return fold(hits.select("client", "hit_id", "t_us"), "client", ["t_us", "hit_id"], run, "client long, hit_id long, t_us long, accepted boolean")
+    return scan(hits.select("client", "hit_id", "t_us"), "client", ["t_us", "hit_id"], start, "accepted", "boolean")
 
 
 def sweep(jobs: DataFrame, now: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from subtide.operators.folds import fold
 # Language codes; the least length of a piece, padding and gaps of speech, seconds; samples a second.
 LANGUAGES = ["auto", "mixed", "ko", "ja", "vi", "zh", "en"]
 LEAST, PADDING, RATE = 0.35, 0.4, 16000
+# Gaps over which speech is joined, the second if one side is short; what is short; the longest stretch.
+JOIN_GAP, SHORT_GAP, SHORT_SPEECH, MOST_SPEECH = 0.65, 1.2, 1.2, 30.0
 CODE = r"(?i)^([\s\S]+?)\s+(auto|mixed|ko|ja|vi|zh|en)$"
 
 
@@ -56,51 +60,70 @@ def overlapping(ranges: DataFrame) -> DataFrame:
 
 
 def normalized(ranges: DataFrame, total: str = "total_s") -> DataFrame:
-    """Ranges (with total_s) within [0, total], at least LEAST long, neighbours of one language that touch joined.
+    """Ranges (with total_s) within [0, total], at least LEAST long, neighbours of one language that touch or overlap joined.
 
-    (doc_id, start_s, end_s, lang, total_s), by windows; exact for ranges that don't overlap, as parsing demands.
+    (doc_id, start_s, end_s, lang, total_s), by windows: within a stretch of one language a range is joined if it
+    starts no later than the greatest end before it.
     """
     inside = lambda c: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(total)))
     rows = ranges.select("doc_id", "line_no", inside("start_s").alias("start_s"), inside("end_s").alias("end_s"), "lang", F.col(total).alias("total_s"))
     rows = rows.filter(F.col("end_s") - F.col("start_s") >= LEAST)
     w = W.partitionBy("doc_id").orderBy("start_s", "line_no")
-    new = F.coalesce((F.col("start_s") > F.lag("end_s").over(w)) | (F.col("lang") != F.lag("lang").over(w)), F.lit(True))
-    rows = rows.withColumn("run", F.sum(new.cast("int")).over(w))
-    return rows.groupBy("doc_id", "run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.first("lang").alias("lang"), F.first("total_s").alias("total_s")).drop("run")
+    rows = rows.withColumn("stretch", F.sum(F.coalesce(F.col("lang") != F.lag("lang").over(w), F.lit(True)).cast("int")).over(w))
+    before = W.partitionBy("doc_id", "stretch").orderBy("start_s", "line_no").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("new", F.coalesce(F.col("start_s") > F.max("end_s").over(before), F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(w))
+    return rows.groupBy("doc_id", "run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.first("lang").alias("lang"), F.first("total_s").alias("total_s"))
 
 
-def tiled(ranges: DataFrame, default: str) -> DataFrame:
-    """(doc_id, start_s, end_s, lang): a document's whole time line; gaps have the default language."""
-    w = W.partitionBy("doc_id").orderBy("start_s")
+def tiled(ranges: DataFrame, default: str | Column) -> DataFrame:
+    """(doc_id, start_s, end_s, lang): a document's whole time line; gaps have the default language. ranges: of normalized().
+
+    default: of all documents, or the column that has each one's own.
+    """
+    w = W.partitionBy("doc_id").orderBy("run")
     rows = ranges.withColumns({"before": F.lag("end_s", 1, 0.0).over(w), "last": F.lead("start_s").over(w).isNull()})
-    piece = lambda a, z, lang, when=True: F.when(F.lit(when) if isinstance(when, bool) else when, F.struct(a.alias("start_s"), z.alias("end_s"), lang.alias("lang")))
-    gap, tail = F.lit(default), F.lit(default)
+    gap = default if isinstance(default, Column) else F.lit(default)
+    piece = lambda a, z, lang, when: F.when(when, F.struct(a.alias("start_s"), z.alias("end_s"), lang.alias("lang")))
     pieces = F.array_compact(F.array(
         piece(F.col("before"), F.col("start_s"), gap, F.col("start_s") > F.col("before")),
-        piece(F.col("start_s"), F.col("end_s"), F.col("lang")),
-        piece(F.col("end_s"), F.col("total_s"), tail, F.col("last") & (F.col("end_s") < F.col("total_s"))),
+        piece(F.col("start_s"), F.col("end_s"), F.col("lang"), F.lit(True)),
+        piece(F.col("end_s"), F.col("total_s"), gap, F.col("last") & (F.col("end_s") < F.col("total_s"))),
     ))
-    return rows.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
-
-
-def merge_speech(speech: DataFrame) -> DataFrame:
-    """Speech intervals (doc_id, pos, start_smp, end_smp) joined over short gaps, up to 30 s: a fold, since the cap depends on what was joined."""
-
-    def run(key, rows):
-        out: list[list[int]] = []
-        for a, z in ((r["start_smp"], r["end_smp"]) for r in rows):
-            if z <= a:
-                continue
-            if out:
-                p = out[-1]
-                gap, own, new = (a - p[1]) / RATE, (p[1] - p[0]) / RATE, (z - a) / RATE
-                if (z - p[0]) / RATE <= 30.0 and (gap <= 0.65 or (gap <= 1.2 and min(own, new) < 1.2)):
-                    p[1] = max(p[1], z)
-                    continue
-            out.append([a, z])
-        return ({"doc_id": key, "pos": n, "start_smp": a, "end_smp": z} for n, (a, z) in enumerate(out))
-
-    return fold(speech, "doc_id", ["pos"], run, "doc_id long, pos long, start_smp long, end_smp long")
+    return rows.select("doc_id", "run", F.posexplode(pieces).alias("nth", "p")).select("doc_id", "p.*", "run", "nth")
+
+
+def speech_end(start: np.ndarray, end: np.ndarray) -> int:
+    """How many intervals, from the first on, are one stretch of speech; all of them if none breaks off."""
+    reach = np.maximum.accumulate(end)
+    gap, own, new = (start[1:] - reach[:-1]) / RATE, (reach[:-1] - start[0]) / RATE, (end[1:] - start[1:]) / RATE
+    close = (gap <= JOIN_GAP) | ((gap <= SHORT_GAP) & (np.minimum(own, new) < SHORT_SPEECH))
+    breaks = np.flatnonzero(~(close & ((end[1:] - start[0]) / RATE <= MOST_SPEECH)))
+    return int(breaks[0]) + 1 if len(breaks) else len(start)
+
+
+def merge_speech(speech: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Speech intervals (key, pos, start_smp, end_smp) joined over short gaps, up to MOST_SPEECH: a fold, since that bound depends on what was joined."""
+
+    def run(table: pa.Table) -> dict:
+        start, end = (table.column(c).to_numpy() for c in ("start_smp", "end_smp"))
+        start, end = start[end > start], end[end > start]
+        firsts, lasts, at = [], [], 0
+        while at < len(start):
+            # looks at some intervals, at more if the stretch goes on behind them
+            width, size = 16, 0
+            while size == 0:
+                here = slice(at, at + width)
+                got = speech_end(start[here], end[here])
+                size = got if got < width or at + width >= len(start) else 0
+                width *= 4
+            firsts.append(int(start[at]))
+            lasts.append(int(end[at : at + size].max()))
+            at += size
+        return {"pos": range(len(firsts)), "start_smp": firsts, "end_smp": lasts}
+
+    kind = speech.schema[key].dataType.simpleString()
+    return fold(speech.select(key, "pos", "start_smp", "end_smp"), key, ["pos"], run, f"{key} {kind}, pos long, start_smp long, end_smp long")
 
 
 def padded(speech: DataFrame, samples: str = "n_samples") -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subtide.functions.kernels import Cleaner, Phrases, merged, optimized, retimed, segmented, split, standard
 from subtide.functions.text import cps_limit, reading_chars
-from subtide.operators.folds import fold
+from subtide.operators.folds import fold, rows_of
 from subtide.sources.srt import parse_lenient, serialize_timed
 
-CUES = "doc_id long, pos long, start_s double, end_s double, text string"
+CUES = "pos long, start_s double, end_s double, text string"
+
+
+def _by_document(rows: DataFrame, step, more: tuple[str, ...] = ()) -> DataFrame:
+    """step(cues of a document, the document's value of each column named by more)."""
+
+    def run(table: pa.Table) -> dict:
+        got = step([(a, z, t or "") for a, z, t in rows_of(table, "start_s", "end_s", "text")], *[table.column(c)[0].as_py() for c in more])
+        columns = zip(*got, strict=True) if got else ([], [], [])
+        return {"pos": range(len(got))} | dict(zip(("start_s", "end_s", "text"), columns, strict=True))
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return fold(rows.select("doc_id", "pos", "start_s", "end_s", "text", *more), "doc_id", ["pos"], run, f"doc_id {kind}, {CUES}")
 
-def _by_document(rows: DataFrame, step) -> DataFrame:
-    def run(key, group):
-        got = step([(r["start_s"], r["end_s"], r["text"] or "") for r in group])
-        return ({"doc_id": key, "pos": n, "start_s": a, "end_s": z, "text": t} for n, (a, z, t) in enumerate(got))
 
-    return fold(rows.select("doc_id", "pos", "start_s", "end_s", "text"), "doc_id", ["pos"], run, CUES)
+class _Cleaners(dict):
+    """Cleaners by language, made when first asked for."""
+
+    def __missing__(self, language: str | None) -> Cleaner:
+        got = self[language] = Cleaner(language)
+        return got
 
 
 def fix_timings(cues: DataFrame) -> DataFrame:
@@ -42,9 +57,11 @@ def industry_standard(cues: DataFrame, language: str = "auto") -> DataFrame:
 
 
 def segment_words(words: DataFrame, language: str = "auto") -> DataFrame:
-    """words: doc_id, pos, start_s, end_s, text."""
-    clean = Cleaner(language)
-    return _by_document(words, lambda rows: segmented(rows, clean))
+    """words: doc_id, pos, start_s, end_s, text, and perhaps lang, which is each document's own language."""
+    cleaners = _Cleaners()
+    if "lang" in words.columns:
+        return _by_document(words, lambda rows, lang: segmented(rows, cleaners[lang]), ("lang",))
+    return _by_document(words, lambda rows: segmented(rows, cleaners[language]))
 
 
 def target_ends(cues: DataFrame) -> DataFrame:
@@ -69,16 +86,24 @@ def wrap_texts(rows: DataFrame, text: str = "text", to: str = "wrapped") -> Data
     return rows.withColumn(to, wrapped(F.col(f"`{text}`")))
 
 
-def optimize_documents(docs: DataFrame, text: str = "srt_text", language: str = "auto", to: str = "optimized") -> DataFrame:
-    """Documents with their optimised text; one without a cue stays as it is. Row by row, no shuffle."""
-    clean, phrases = Cleaner(language), Phrases()
-    parsed = parse_lenient(docs, text)
+def optimize_documents(docs: DataFrame, text: str = "srt_text", language: str | Column = "auto", to: str = "optimized") -> DataFrame:
+    """Documents with their optimised text; one without a cue stays as it is. Row by row, no shuffle.
+
+    language: of all documents, or the column that has each one's own.
+    """
+    cleaners, phrases = _Cleaners(), Phrases()
+    parsed = parse_lenient(docs.withColumn("__l", language if isinstance(language, Column) else F.lit(language)), text)
     kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string())]))
 
     @F.arrow_udf("array<struct<start_s:double,end_s:double,text:string>>")
-    def better(cues: pa.Array) -> pa.Array:
-        rows = [optimized([(c["start_s"], c["end_s"], c["text"]) for c in x], clean, phrases) for x in cues.to_pylist()]
-        return pa.array([[{"start_s": a, "end_s": z, "text": t} for a, z, t in r] for r in rows], kind)
-
-    out = parsed.withColumn("__o", better("cues"))
-    return out.withColumn(to, F.when(F.size("cues") == 0, F.col(f"`{text}`")).otherwise(serialize_timed(F.col("__o")))).drop("__o", "cues")
+    def better(cues: pa.Array, languages: pa.Array) -> pa.Array:
+        flat, counts = cues.flatten(), pc.list_value_length(cues).to_pylist()
+        rows = zip(*(flat.field(c).to_pylist() for c in ("start_s", "end_s", "text")), strict=True)
+        made = [optimized([next(rows) for _ in range(n or 0)], cleaners[lang], phrases) for n, lang in zip(counts, languages.to_pylist(), strict=True)]
+        ends = [0, *accumulate(map(len, made))]
+        columns = list(zip(*[c for cues_ in made for c in cues_], strict=True)) or [(), (), ()]
+        parts = [pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.string()), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind.value_type)))
+
+    out = parsed.withColumn("__o", better("cues", "__l"))
+    return out.withColumn(to, F.when(F.size("cues") == 0, F.col(f"`{text}`")).otherwise(serialize_timed(F.col("__o")))).drop("__o", "__l", "cues")
