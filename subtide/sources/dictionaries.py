@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass, field
 from pathlib import Path
 
+logger = logging.getLogger(__name__)
+
 # What speech recognition gets wrong, by language, and terms written with spaces.
 COMMON_ZH = {
     "safe_replacements": {
@@ -24,24 +27,23 @@ SHARED = {
 }
 BY_LANGUAGE = {"zh": COMMON_ZH, "ja": {}, "ko": {}}
 # Hints for model corrections: (wrong, suggest, language, confidence, condition).
-_KO = "Korean spacing correction"
 HINTS = [
     ("問答對聯", "問答對練", "zh", "high", "speaking practice / conversation drill context"),
     ("對戀", "對練", "zh", "high", "AI conversation practice context"),
     ("PatternDrill", "Pattern Drill", "any", "high", "English term spacing correction"),
     ("whatImeanis", "what I mean is", "any", "high", "English phrase spacing correction"),
     ("HonestlyIthink", "Honestly, I think", "any", "high", "English phrase spacing and punctuation correction"),
-    ("자전거를탈수있어요", "자전거를 탈 수 있어요", "ko", "high", _KO),
-    ("일본생활은어때요", "일본 생활은 어때요", "ko", "high", _KO),
-    ("일주일에몇번가요", "일주일에 몇 번 가요", "ko", "high", _KO),
-    ("일주일에세번가요", "일주일에 세 번 가요", "ko", "high", _KO),
-    ("전혀안피곤해요", "전혀 안 피곤해요", "ko", "high", _KO),
-    ("아르바이트는몇시부터예요", "아르바이트는 몇 시부터예요", "ko", "high", _KO),
-    ("몇시", "몇 시", "ko", "high", _KO),
-    ("몇번", "몇 번", "ko", "high", _KO),
-    ("새벽1시까지해요", "새벽 1시까지 해요", "ko", "high", _KO),
-    ("저녁6시부터", "저녁 6시부터", "ko", "high", _KO),
-    ("몇시까지해요", "몇 시까지 해요", "ko", "high", _KO),
+    ("자전거를탈수있어요", "자전거를 탈 수 있어요", "ko", "high", "Korean spacing correction"),
+    ("일본생활은어때요", "일본 생활은 어때요", "ko", "high", "Korean spacing correction"),
+    ("일주일에몇번가요", "일주일에 몇 번 가요", "ko", "high", "Korean spacing correction"),
+    ("일주일에세번가요", "일주일에 세 번 가요", "ko", "high", "Korean spacing correction"),
+    ("전혀안피곤해요", "전혀 안 피곤해요", "ko", "high", "Korean spacing correction"),
+    ("아르바이트는몇시부터예요", "아르바이트는 몇 시부터예요", "ko", "high", "Korean spacing correction"),
+    ("몇시", "몇 시", "ko", "high", "Korean spacing correction"),
+    ("몇번", "몇 번", "ko", "high", "Korean spacing correction"),
+    ("새벽1시까지해요", "새벽 1시까지 해요", "ko", "high", "Korean spacing correction"),
+    ("저녁6시부터", "저녁 6시부터", "ko", "high", "Korean spacing correction"),
+    ("몇시까지해요", "몇 시까지 해요", "ko", "high", "Korean spacing correction"),
     ("자전거를탈수있어요진짜요", "자전거를 탈 수 있어요? 진짜요", "ko", "medium", "Korean spacing and sentence boundary correction"),
 ]
 PROTECTED_TERMS = ["CD", "DVD", "MP3", "PDF", "SRT", "FSI", "CIA", "MI6", "ChatGPT", "Gemini", "Claude", "Ollama", "Qwen", "DeepSeek", "Whisper", "faster-whisper", "Anki", "Quizlet", "TOEIC", "JLPT", "N1", "N2", "Pattern Drill"]
@@ -71,13 +73,28 @@ def string_map(payload: dict, key: str) -> dict[str, str]:
 
 
 def read_json(path: str | Path) -> object | None:
-    """A JSON file's content; None if it is missing or broken."""
+    """A JSON file's content; None, with a warning, if it is missing or broken."""
     try:
         return json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+    except (OSError, ValueError) as e:
+        logger.warning("%s could not be loaded: %s", path, e)
         return None
 
 
+def load_hints(path: str | Path | None = None) -> dict:
+    """Hints, protected terms and numeric rules of a JSON file, by the keys below; {} if it is no JSON object.
+
+    Without a path: the fixed ones.
+    """
+    if path is None:
+        names = ("wrong", "suggest", "language", "confidence", "condition")
+        return {"correction_hints": [dict(zip(names, h, strict=True)) for h in HINTS], "protected_terms": list(PROTECTED_TERMS), "numeric_rules": dict(NUMERIC_RULES)}
+    found = read_json(path)
+    if found is not None and not isinstance(found, dict):
+        logger.warning("%s has no JSON object", path)
+    return found if isinstance(found, dict) else {}
+
+
 def merged(*payloads: dict) -> Corrections:
     """Later dictionaries override earlier ones by key; terms stay distinct, in order."""
     out = Corrections()

@@ -119,39 +119,43 @@ def exploded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode_outer("cues").alias("pos", "cue")).filter("pos is not null").select(key, "pos", "cue.*")
 
 
-def segments_to_cues(segments: DataFrame, offset: float = 0.0, min_start: float | None = None, max_end: float | str | None = None) -> DataFrame:
-    """Recognised segments (doc_id, pos, start_s, end_s, text) as cues, clamped, numbered over those with text.
+def _or_column(value: float | str | None) -> Column:
+    """Seconds, or the column that has each row's own."""
+    return (F.col(f"`{value}`") if isinstance(value, str) else F.lit(value)).cast("double")
 
-    max_end: seconds, or the column that has each segment's own.
+
+def _clamped(at: Column, offset: float | str, min_start: float | str | None, max_end: float | str | None) -> Column:
+    """A time of the model's, at least 0, moved by the offset and into the bounds that are not null."""
+    moved = F.greatest(F.coalesce(at.cast("double"), F.lit(0.0)), F.lit(0.0)) + _or_column(offset)
+    return F.least(F.greatest(moved, _or_column(min_start)), _or_column(max_end))
+
+
+def segments_to_cues(segments: DataFrame, offset: float | str = 0.0, min_start: float | str | None = None, max_end: float | str | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Recognised segments (doc_id, order columns, start_s, end_s, text) as cues, clamped, numbered over those with text.
+
+    offset, min_start, max_end: seconds, or the column that has each segment's own.
     """
     from pyspark.sql import Window as W
 
-    low = lambda c: F.greatest(c, F.lit(min_start).cast("double"))
-    most = F.col(f"`{max_end}`") if isinstance(max_end, str) else F.lit(max_end)
-    high = lambda c: F.least(c, most.cast("double"))
-    at = lambda name: high(low(F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)) + offset))
-    out = segments.select("doc_id", "pos", at("start_s").alias("start_s"), at("end_s").alias("end_s"), strip(F.coalesce("text", F.lit(""))).alias("text"), most.cast("double").alias("most")).filter("text != ''")
-    both = min_start is not None and max_end is not None
-    end = F.least(F.col("start_s") + 0.2, F.col("most")) if both else F.col("start_s") + 0.2
-    if both:
-        out = out.filter((F.col("end_s") > F.col("start_s")) | (F.col("start_s") < F.col("most")))
+    low, high = _or_column(min_start), _or_column(max_end)
+    at = lambda name: _clamped(F.col(name), offset, min_start, max_end).alias(name)
+    out = segments.select("doc_id", *order, at("start_s"), at("end_s"), strip(F.coalesce("text", F.lit(""))).alias("text"), high.alias("most"), (low.isNotNull() & high.isNotNull()).alias("both")).filter("text != ''")
+    out = out.filter("NOT both OR end_s > start_s OR start_s < most")
+    end = F.when(F.col("both"), F.least(F.col("start_s") + 0.2, F.col("most"))).otherwise(F.col("start_s") + 0.2)
     out = out.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), end).otherwise(F.col("end_s")))
-    return out.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))).select("doc_id", "pos", "idx", "start_s", "end_s", "text")
+    return out.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).select("doc_id", *order, "idx", "start_s", "end_s", "text")
 
 
-def words_of(segments: DataFrame, offset: float = 0.0, min_start: float | None = None, max_end: float | None = None) -> DataFrame:
-    """(doc_id, pos, start_s, end_s, text, is_word): a document's words, or its segments if none of them has a word.
+def words_of(segments: DataFrame, offset: float | str = 0.0, min_start: float | str | None = None, max_end: float | str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, pos, start_s, end_s, text, is_word, keep columns): a document's words, or its segments if none of them has a word.
 
     segments: doc_id, pos, start_s, end_s, text, words (array of start_s, end_s, word); null times are 0.
     """
     from pyspark.sql import Window as W
 
-    def clamped(c: Column) -> Column:
-        c = F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)) + offset
-        return F.least(F.greatest(c, F.lit(min_start).cast("double")), F.lit(max_end).cast("double"))
-
-    whole = segments.select("doc_id", "pos", F.lit(-1).alias("sub"), clamped(F.col("start_s")).alias("start_s"), clamped(F.col("end_s")).alias("end_s"), F.col("text"))
-    parts = segments.select("doc_id", "pos", F.posexplode("words").alias("sub", "w")).select("doc_id", "pos", "sub", clamped(F.col("w.start_s")).alias("start_s"), clamped(F.col("w.end_s")).alias("end_s"), F.col("w.word").alias("text"))
+    at = lambda c, name: _clamped(F.col(c), offset, min_start, max_end).alias(name)
+    whole = segments.select("doc_id", "pos", *keep, F.lit(-1).alias("sub"), at("start_s", "start_s"), at("end_s", "end_s"), F.col("text"))
+    parts = segments.select("*", F.posexplode("words").alias("sub", "w")).select("doc_id", "pos", *keep, "sub", at("w.start_s", "start_s"), at("w.end_s", "end_s"), F.col("w.word").alias("text"))
     both = whole.unionByName(parts).withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text != '' AND end_s > start_s")
     has = F.max(F.col("sub") >= 0).over(W.partitionBy("doc_id"))
     both = both.withColumn("is_word", F.col("sub") >= 0).withColumn("has", has).filter(F.col("has") == F.col("is_word"))
