@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from subtide.functions import text as T
 from subtide.functions import timecode
-from subtide.operators import admission, corrections, guards, hints, quality, ranges, timing
+from subtide.operators import admission, corrections, guards, hints, quality, ranges, recognition, timing
 from subtide.plans import inputs as I
+from subtide.plans import text_sql as S
 from subtide.sources import audio, dictionaries, srt
 from subtide.streaming import state
+from subtide.streaming.folders import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,13 +79,14 @@ def q_pages(spark, d):
     return srt.parse_lenient(strict).select("doc_id", "failed", F.size("cues").cast("long").alias("n_lenient"))
 
 
-@query("srt_parse_lenient", _with(I.CUES, I.PLAIN) + f"SELECT doc_id, count(*)::BIGINT AS n, sum({MS.format('end_s')} - {MS.format('start_s')})::BIGINT AS total_ms FROM plain WHERE doc_id % 5 NOT IN (1, 2, 4) GROUP BY doc_id UNION ALL SELECT doc_id, sum(CASE WHEN doc_id % 5 = 2 OR r > 1 THEN 1 ELSE 0 END)::BIGINT, sum(CASE WHEN r > 1 THEN {MS.format('end_s')} - {MS.format('start_s')} ELSE 0 END)::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM plain) WHERE doc_id % 5 = 1 GROUP BY doc_id")
-def q_lenient(spark, d):
-    return _lenient(I.faulty_docs(spark, d).filter(~(F.col("doc_id") % 5).isin(2, 4)))
+LENIENT = f"""WITH RECURSIVE {I.CUES}, {I.PLAIN}, r AS (SELECT doc_id, {MS.format('start_s')} + CASE WHEN doc_id % 5 = 2 AND n = 1 AND start_s < 60 THEN 3660000 ELSE 0 END AS a, {MS.format('end_s')} AS z, n
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM plain)),
+g AS (SELECT doc_id, count(*)::BIGINT AS n, sum(z - a)::BIGINT AS total_ms FROM r WHERE z > a AND doc_id % 5 <> 4 AND NOT (doc_id % 5 = 1 AND n = 1) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(total_ms, 0)::BIGINT AS total_ms FROM (SELECT DISTINCT doc_id FROM plain) LEFT JOIN g USING (doc_id)"""
 
 
-@query("srt_parse_lenient_all")
-def q_lenient_all(spark, d):
+@query("srt_parse_lenient", LENIENT)
+def q_lenient(spark, d):
     """Every faulty document; those whose cues are all passed over have none."""
     return _lenient(I.faulty_docs(spark, d))
 
@@ -93,25 +97,60 @@ def _lenient(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(got, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("total_ms", F.lit(0)).cast("long").alias("total_ms"))
 
 
-@query("segments_to_cues", _with(I.CUES) + f", s AS (SELECT doc_id, pos, least(greatest(greatest(start_s, 0) + 0.5::DOUBLE, 2), 20) AS a, least(greatest(greatest(end_s, 0) + 0.5::DOUBLE, 2), 20) AS z, {I.STRIP.format('text')} AS text FROM cues) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS idx, {MS.format('a')} AS start_ms, {MS.format('CASE WHEN z <= a THEN least(a + 0.2::DOUBLE, 20) ELSE z END')} AS end_ms FROM s WHERE text <> '' AND (z > a OR a < 20)".replace("WITH RECURSIVE cues", "WITH RECURSIVE cues"))
-def q_segments(spark, d):
-    rows = srt.segments_to_cues(I.cues(spark, d), 0.5, 2.0, 20.0)
-    return rows.select("doc_id", "idx", _ms("start_s"), _ms("end_s"))
-
-
 def _last(c: str):
     """The greatest value of a column in the conversation."""
     return F.max(c).over(W.partitionBy("doc_id"))
 
 
-@query("segments_to_cues_whole")
-def q_segments_whole(spark, d):
+@query("segments_to_cues", _with(I.CUES) + f", m AS (SELECT *, max(end_s) OVER (PARTITION BY doc_id) + 0.5::DOUBLE AS most FROM cues), s AS (SELECT doc_id, pos, most, least(greatest(greatest(start_s, 0) + 0.5::DOUBLE, 2), most) AS a, least(greatest(greatest(end_s, 0) + 0.5::DOUBLE, 2), most) AS z, {I.STRIP.format('text')} AS text FROM m) SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS idx, {MS.format('a')} AS start_ms, {MS.format('CASE WHEN z <= a THEN least(a + 0.2::DOUBLE, most) ELSE z END')} AS end_ms FROM s WHERE text <> '' AND (z > a OR a < most)")
+def q_segments(spark, d):
     """Up to each conversation's own last end, moved by the offset as the segments are."""
     rows = srt.segments_to_cues(I.cues(spark, d).withColumn("most_s", _last("end_s") + 0.5), 0.5, 2.0, "most_s")
     return rows.select("doc_id", "pos", "idx", _ms("start_s"), _ms("end_s"))
 
 
-@query("words_of_segments")
+@query("segments_to_srt", _with(I.CUES) + f", s AS (SELECT doc_id, pos, greatest(start_s, 0) AS a, greatest(end_s, 0) AS z, {I.STRIP.format('text')} AS text FROM cues), n AS (SELECT *, CASE WHEN z <= a THEN a + 0.2::DOUBLE ELSE z END AS e, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM s WHERE text <> '') SELECT doc_id, coalesce(string_agg(n || chr(10) || {I.TIME.format('a')} || ' --> ' || {I.TIME.format('e')} || chr(10) || n.text, chr(10) || chr(10) ORDER BY pos) || chr(10), '') AS srt_text FROM (SELECT DISTINCT doc_id FROM cues) LEFT JOIN n USING (doc_id) GROUP BY doc_id")
+def q_segments_srt(spark, d):
+    return recognition.segments_to_srt(I.cues(spark, d).withColumn("words", F.lit(None).cast("array<struct<start_s: double, end_s: double, word: string>>")))
+
+
+def _recorded(spark, d):
+    """Conversations as audio files that end with their last speech, their range lists, and their speech in the first piece."""
+    files = I.speech(spark, d).groupBy("doc_id").agg(F.max("end_smp").alias("n_samples"))
+    files = files.withColumn("language", F.element_at(F.array(*map(F.lit, ("zh", "mixed", "auto", "ja"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    listed = ranges.parse_ranges(I.range_lists(spark, d)).filter("error IS NULL AND doc_id % 3 != 0")
+    listed = listed.withColumn("lang", F.when(F.col("line_no") % 3 == 0, "mixed").otherwise("ko"))
+    return files, recognition.pieces(files, listed)
+
+
+@query("recognition_pieces", _with(I.CUES) + """, f AS (SELECT doc_id, max(floor(greatest(end_s, 0) * 16000)::BIGINT) AS n, ['zh', 'mixed', 'auto', 'ja'][(doc_id % 4 + 1)::INT] AS language FROM cues GROUP BY doc_id),
+l AS (SELECT conv_id AS doc_id, turn, (conv_id + turn) % 6 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no FROM conversations),
+g AS (SELECT l.doc_id, line_no, greatest(0, least(turn * 10.0::DOUBLE, n / 16000.0::DOUBLE)) AS a, greatest(0, least(turn * 10.0::DOUBLE + CASE k WHEN 1 THEN 4.5::DOUBLE WHEN 2 THEN 4.25::DOUBLE ELSE 4.0::DOUBLE END, n / 16000.0::DOUBLE)) AS z, CASE WHEN line_no % 3 = 0 THEN 'mixed' ELSE 'ko' END AS lang, language, n
+  FROM l JOIN f USING (doc_id) WHERE k < 4 AND l.doc_id % 3 <> 0),
+q AS (SELECT *, lag(z, 1, 0.0::DOUBLE) OVER w AS before, lead(a) OVER w AS next FROM g WHERE z - a >= 0.35::DOUBLE WINDOW w AS (PARTITION BY doc_id ORDER BY a, line_no)),
+t AS (SELECT doc_id, before AS a, a AS z, language AS lang, n FROM q WHERE a > before UNION ALL SELECT doc_id, a, z, lang, n FROM q UNION ALL SELECT doc_id, z, n / 16000.0::DOUBLE, language, n FROM q WHERE next IS NULL AND z < n / 16000.0::DOUBLE),
+p AS (SELECT doc_id, CASE WHEN lang = 'mixed' THEN 'mixed' ELSE 'target' END AS route, lang, a, floor(a * 16000)::BIGINT AS from_smp, least(n, floor(z * 16000)::BIGINT) AS to_smp FROM t)
+SELECT doc_id, route, lang, round_even(a * 1000, 0)::BIGINT AS start_ms, from_smp, to_smp FROM p WHERE route = 'mixed' OR (to_smp - from_smp) / 16000.0::DOUBLE >= 0.35::DOUBLE
+UNION ALL SELECT doc_id, CASE WHEN language = 'mixed' THEN 'mixed' ELSE 'whole' END, language, 0::BIGINT, 0::BIGINT, n FROM f WHERE doc_id NOT IN (SELECT doc_id FROM q)""")
+def q_pieces(spark, d):
+    """The range lists have a gap between any two ranges, so none are joined."""
+    return _recorded(spark, d)[1].select("doc_id", "route", "lang", _ms("start_s"), "from_smp", "to_smp")
+
+
+@query("recognition_windows")
+def q_asked(spark, d):
+    """What a professional recognition asks; the detector hears the conversation's speech in the first piece."""
+    _, parts = _recorded(spark, d)
+    first = parts.groupBy("doc_id").agg(F.min("piece").alias("piece"))
+    asked = recognition.windows(parts, I.speech(spark, d).join(first, "doc_id"), True)
+    return asked.select("doc_id", "piece", "win", "lang", "from_smp", "to_smp", _ms("offset_s"), "words", F.col("asked.beam_size").alias("beam_size"))
+
+
+@query("words_of_segments", """WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS word, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS pos FROM documents),
+t AS (SELECT doc_id, pos, pos * 0.3::DOUBLE + floor(pos / 17) * 1.5::DOUBLE AS a, word FROM w WHERE word <> ''),
+s AS (SELECT doc_id, floor(pos / 7) AS seg, max(a + 0.3::DOUBLE) AS z FROM t GROUP BY ALL),
+u AS (SELECT doc_id, a + 0.3::DOUBLE AS z, true AS is_word FROM t WHERE doc_id % 3 <> 0 AND """ + S.strip("word") + """ <> '' UNION ALL SELECT doc_id, z, false FROM s WHERE doc_id % 3 = 0)
+SELECT doc_id, count(*)::BIGINT AS n, bool_or(is_word) AS has_words, round_even(max(z) * 1000, 0)::BIGINT AS end_ms FROM u GROUP BY doc_id""")
 def q_words(spark, d):
     """Segments of seven words, every third document without words."""
     w = I.words(spark, d).withColumn("seg", F.floor(F.col("pos") / 7))
@@ -169,7 +208,7 @@ def q_boundaries(spark, d):
 # --- cleaning --------------------------------------------------------------------------------------------------
 
 
-@query("text_flatten")
+@query("text_flatten", _with(I.CUES) + f"SELECT doc_id, pos, {S.flatten('text')} AS flat FROM cues")
 def q_flatten(spark, d):
     return I.cues(spark, d).select("doc_id", "pos", T.flatten(F.col("text")).alias("flat"))
 
@@ -185,24 +224,27 @@ def q_format_rules(spark, d):
     return I.cues(spark, d).select("doc_id", "pos", t.alias("text"))
 
 
-@query("text_chinese_punctuation")
+@query("text_chinese_punctuation", _with(I.CUES) + f", f AS (SELECT doc_id, pos, {S.flatten('text')} AS flat FROM cues) SELECT doc_id, pos, {S.chinese_punctuation('flat')} AS text FROM f")
 def q_chinese(spark, d):
     return I.cues(spark, d).select("doc_id", "pos", T.chinese_punctuation(T.flatten(F.col("text"))).alias("text"))
 
 
-@query("text_join")
+@query("text_join", _with(I.CUES) + f", f AS (SELECT doc_id, pos, {S.flatten('text')} AS flat FROM cues) SELECT x.doc_id, x.pos, {S.joined('x.flat', 'y.flat')} AS text, {S.page('x.flat', 'y.flat')} AS page FROM f x JOIN f y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1")
 def q_join(spark, d):
     c = I.cues(spark, d).select("doc_id", "pos", "text")
     after = c.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("text").alias("next"))
     return c.join(after, ["doc_id", "pos"]).select("doc_id", "pos", T.joined(F.col("text"), F.col("next")).alias("text"), T.page_fragment(F.col("text"), F.col("next")).alias("page"))
 
 
-@query("clean_text")
+CLEAN = ("zh", True, ["Language Reactor"])
+
+
+@query("clean_text", _with(I.CUES) + f", c AS ({S.cleaned('cues', 'text', *CLEAN)}) SELECT doc_id, pos, {S.last(*CLEAN)} AS clean_text, len({S.changes(*CLEAN)})::BIGINT AS n_changes FROM c")
 def q_clean(spark, d):
-    return corrections.clean_cues(I.cues(spark, d), "zh", True, ["Language Reactor"]).select("doc_id", "pos", "clean_text", F.size("changes").cast("long").alias("n_changes"))
+    return corrections.clean_cues(I.cues(spark, d), *CLEAN).select("doc_id", "pos", "clean_text", F.size("changes").cast("long").alias("n_changes"))
 
 
-@query("clean_changes")
+@query("clean_changes", _with(I.CUES) + f", c AS ({S.cleaned('cues', 'text', 'zh', True)}), l AS (SELECT doc_id, pos, {S.changes('zh', True)} AS log FROM c), u AS (SELECT doc_id, pos, unnest(log) AS c, generate_subscripts(log, 1) - 1 AS ord FROM l) SELECT doc_id, pos, ord::INT AS ord, c.before AS before, c.after AS after, c.type AS type FROM u")
 def q_changes(spark, d):
     rows = corrections.clean_cues(I.cues(spark, d), "zh", True)
     return rows.select("doc_id", "pos", F.posexplode("changes").alias("ord", "c")).select("doc_id", "pos", "ord", "c.before", "c.after", "c.type")
@@ -323,7 +365,15 @@ def _timed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", _ms("start_s"), _ms("end_s"), "text")
 
 
-@query("merge_short")
+MERGE = f"""o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, start_s AS a, end_s AS z, text, {S.flatten('text')} AS flat FROM cues),
+f(doc_id, n, a, z, text, flat, run) AS (SELECT doc_id, n, a, z, text, flat, 0 FROM o WHERE n = 1 UNION ALL
+ SELECT doc_id, n, CASE WHEN j THEN pa ELSE a END, CASE WHEN j THEN greatest(pz, z) ELSE z END, CASE WHEN j THEN pair ELSE text END, CASE WHEN j THEN {S.flatten('pair')} ELSE flat END, CASE WHEN j THEN run ELSE run + 1 END FROM (
+  SELECT *, nb <= 50 AND ((pg AND gap <= 1.2::DOUBLE) OR (gap <= 0.25::DOUBLE AND greatest(pz, z) - pa <= 7 AND nb <= CASE WHEN {CJK.format('pair')} THEN 42 ELSE 84 END AND NOT {S.has(S.strip('ptext'), T.SENTENCE_END)})
+    OR (gap <= 0.35::DOUBLE AND (pz - pa < 0.9::DOUBLE OR z - a < 0.9::DOUBLE OR {S.chars('ptext')} <= 4 OR {S.chars('text')} <= 4)) OR (pz - pa < 0.6::DOUBLE AND gap <= 0.8::DOUBLE)) AS j FROM (
+   SELECT *, {S.chars('pair')} AS nb FROM (SELECT o.doc_id, o.n, o.a, o.z, o.text, o.flat, f.a AS pa, f.z AS pz, f.text AS ptext, f.run, greatest(0, o.a - f.z) AS gap, {S.page('f.flat', 'o.flat')} AS pg, {S.joined('f.flat', 'o.flat')} AS pair FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1))))"""
+
+
+@query("merge_short", _with(I.CUES, MERGE) + f"SELECT doc_id, run::BIGINT AS pos, {MS.format('min(a)')} AS start_ms, {MS.format('arg_max(z, n)')} AS end_ms, arg_max(text, n) AS text FROM f GROUP BY doc_id, run")
 def q_merge(spark, d):
     return _timed(timing.merge_short(I.cues(spark, d)))
 
@@ -368,29 +418,24 @@ def q_overlap(spark, d):
     return ranges.overlapping(I.cues(spark, d).withColumnRenamed("pos", "line_no"))
 
 
-def _ranges(spark, d, whole: bool = False):
-    """whole: the time line ends with the conversation."""
-    c = I.plain_cues(spark, d).withColumn("end_s", F.when(F.col("k") == 5, F.col("start_s") + 4).otherwise(F.col("end_s")))
-    c = c.withColumn("total_s", _last("end_s") if whole else F.lit(25.0))
+def _ranges(spark, d):
+    """The time line ends with the conversation."""
+    c = I.plain_cues(spark, d).withColumn("end_s", F.when(F.col("k") == 5, F.col("start_s") + 4).otherwise(F.col("end_s"))).withColumn("total_s", _last("end_s"))
     return c.filter("k != 3").select("doc_id", F.col("pos").alias("line_no"), "start_s", "end_s", F.when(F.col("pos") % 3 == 0, "ja").otherwise("ko").alias("lang"), "total_s")
 
 
-TILES = """r AS (SELECT doc_id, pos, least(start_s, 25) AS a, least(CASE WHEN k = 5 THEN start_s + 4 ELSE end_s END, 25) AS z, CASE WHEN pos % 3 = 0 THEN 'ja' ELSE 'ko' END AS lang FROM plain WHERE k <> 3),
+TILES = """e AS (SELECT doc_id, pos, start_s AS a, CASE WHEN k = 5 THEN start_s + 4 ELSE end_s END AS z, CASE WHEN pos % 3 = 0 THEN 'ja' ELSE 'ko' END AS lang, k FROM plain),
+r AS (SELECT * FROM (SELECT *, max(z) OVER (PARTITION BY doc_id) AS total FROM e) WHERE k <> 3),
 g AS (SELECT *, coalesce(a > lag(z) OVER w OR lang <> lag(lang) OVER w, true)::INT AS new FROM r WHERE z - a >= 0.35::DOUBLE WINDOW w AS (PARTITION BY doc_id ORDER BY a, pos)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, pos) AS run FROM g), n AS (SELECT doc_id, min(a) AS a, max(z) AS z, any_value(lang) AS lang FROM s GROUP BY doc_id, run),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, pos) AS run FROM g), n AS (SELECT doc_id, min(a) AS a, max(z) AS z, any_value(lang) AS lang, any_value(total) AS total FROM s GROUP BY doc_id, run),
 q AS (SELECT *, coalesce(lag(z) OVER w, 0) AS before, lead(a) OVER w AS next FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY a))"""
 
 
-@query("timeline_tiling", _with(I.CUES, I.PLAIN, TILES) + f"SELECT doc_id, {MS.format('a')} AS start_ms, {MS.format('z')} AS end_ms, lang FROM (SELECT doc_id, before AS a, a AS z, 'zh' AS lang FROM q WHERE a > before UNION ALL SELECT doc_id, a, z, lang FROM q UNION ALL SELECT doc_id, z, 25.0, 'zh' FROM q WHERE next IS NULL AND z < 25)")
+@query("timeline_tiling", _with(I.CUES, I.PLAIN, TILES) + f"SELECT doc_id, {MS.format('a')} AS start_ms, {MS.format('z')} AS end_ms, lang FROM (SELECT doc_id, before AS a, a AS z, 'zh' AS lang FROM q WHERE a > before UNION ALL SELECT doc_id, a, z, lang FROM q UNION ALL SELECT doc_id, z, total, 'zh' FROM q WHERE next IS NULL AND z < total)")
 def q_tiles(spark, d):
     return ranges.tiled(ranges.normalized(_ranges(spark, d)), "zh").select("doc_id", _ms("start_s"), _ms("end_s"), "lang")
 
 
-@query("timeline_tiling_whole")
-def q_tiles_whole(spark, d):
-    return ranges.tiled(ranges.normalized(_ranges(spark, d, whole=True)), "zh").select("doc_id", _ms("start_s"), _ms("end_s"), "lang")
-
-
 @query("merge_speech", _with(I.CUES) + """, v AS (SELECT doc_id, (greatest(start_s, 0) * 16000)::DOUBLE AS a0, pos, floor(greatest(start_s, 0) * 16000)::BIGINT AS a, floor(greatest(end_s, 0) * 16000)::BIGINT AS z FROM cues),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM v WHERE z > a),
 f(doc_id, n, a, z, run) AS (SELECT doc_id, n, a, z, 0 FROM o WHERE n = 1 UNION ALL SELECT doc_id, n, CASE WHEN j THEN pa ELSE a END, CASE WHEN j THEN greatest(pz, z) ELSE z END, CASE WHEN j THEN run ELSE run + 1 END FROM (
@@ -400,15 +445,10 @@ def q_speech(spark, d):
     return ranges.merge_speech(I.speech(spark, d))
 
 
-@query("speech_windows", _with(I.CUES) + """, v AS (SELECT doc_id, pos, floor(greatest(start_s, 0) * 16000)::BIGINT AS a, floor(greatest(end_s, 0) * 16000)::BIGINT AS z FROM cues)
-SELECT doc_id, pos, greatest(0, a - 6400)::BIGINT AS from_smp, least(400000, z + 6400)::BIGINT AS to_smp FROM v WHERE z > a AND least(400000, z + 6400) - greatest(0, a - 6400) >= 5600""")
+@query("speech_windows", _with(I.CUES) + """, v AS (SELECT doc_id, pos, floor(greatest(start_s, 0) * 16000)::BIGINT AS a, floor(greatest(end_s, 0) * 16000)::BIGINT AS z FROM cues),
+m AS (SELECT *, max(z) OVER (PARTITION BY doc_id) AS n FROM v)
+SELECT doc_id, pos, greatest(0, a - 6400)::BIGINT AS from_smp, least(n, z + 6400)::BIGINT AS to_smp FROM m WHERE z > a AND least(n, z + 6400) - greatest(0, a - 6400) >= 5600""")
 def q_windows(spark, d):
-    rows = ranges.padded(I.speech(spark, d).withColumn("n_samples", F.lit(400000).cast("long")))
-    return rows.select("doc_id", "pos", F.col("from_smp").cast("long").alias("from_smp"), F.col("to_smp").cast("long").alias("to_smp"))
-
-
-@query("speech_windows_whole")
-def q_windows_whole(spark, d):
     """The audio ends with the last speech of the conversation."""
     rows = ranges.padded(I.speech(spark, d).withColumn("n_samples", _last("end_smp")))
     return rows.select("doc_id", "pos", F.col("from_smp").cast("long").alias("from_smp"), F.col("to_smp").cast("long").alias("to_smp"))
@@ -463,13 +503,7 @@ def q_lookup(spark, d):
 
 def _run_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """All of a stream's output, through a Parquet sink in the shared folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="subtide-stream-")
+    base = shared_dir(spark)
     out = f"{base}/stream-{uuid.uuid4().hex}"
     df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")

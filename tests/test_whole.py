@@ -36,7 +36,7 @@ def lenient(text):
 
 def test_lenient_reads_every_document(spark, folder):
     docs = {r["doc_id"]: r["srt_text"] for r in inputs.faulty_docs(spark, folder).collect()}
-    got = {r["doc_id"]: (r["n"], r["total_ms"]) for r in catalog.queries()["srt_parse_lenient_all"](spark, folder).collect()}
+    got = {r["doc_id"]: (r["n"], r["total_ms"]) for r in catalog.queries()["srt_parse_lenient"](spark, folder).collect()}
     assert got == {d: lenient(t) for d, t in docs.items()}
     assert {d % 5 for d in got} == {0, 1, 2, 3, 4} and any(":61:" in t for t in docs.values())
     assert all(got[d] == (0, 0) for d in got if d % 5 == 4) and got[32][0] == docs[32].count("-->") - 1  # one that begins after 61 minutes and ends before
@@ -63,7 +63,7 @@ def test_segments_of_whole_conversations(spark, folder):
                 continue
             n += 1
             want.add((d, r["pos"], n, ms(a), ms(z if z > a else min(a + 0.2, most))))
-    got = [tuple(r) for r in catalog.queries()["segments_to_cues_whole"](spark, folder).collect()]
+    got = [tuple(r) for r in catalog.queries()["segments_to_cues"](spark, folder).collect()]
     assert len(got) == len(want) and set(got) == want
     spoken = {(r["doc_id"], r["pos"]) for r in inputs.cues(spark, folder).filter("trim(text) != ''").collect()}
     lost = spoken - {(d, pos) for d, pos, *_ in got}
@@ -89,7 +89,7 @@ def test_tiles_of_whole_conversations(spark, folder):
             want += [(d, ms(at), ms(a), "zh")] * (a > at) + [(d, ms(a), ms(z), lang)]
             at = z
         want += [(d, ms(at), ms(total), "zh")] * (bool(runs) and at < total)
-    got = [tuple(r) for r in catalog.queries()["timeline_tiling_whole"](spark, folder).collect()]
+    got = [tuple(r) for r in catalog.queries()["timeline_tiling"](spark, folder).collect()]
     assert sorted(got) == sorted(want) and max(z for _, _, z, _ in got) > 230_000
 
 
@@ -101,6 +101,6 @@ def test_windows_of_whole_conversations(spark, folder):
             a, z = max(0, r["start_smp"] - 6400), min(n, r["end_smp"] + 6400)
             if r["end_smp"] > r["start_smp"] and z - a >= 5600:
                 want.append((d, r["pos"], a, z))
-    got = [tuple(r) for r in catalog.queries()["speech_windows_whole"](spark, folder).collect()]
+    got = [tuple(r) for r in catalog.queries()["speech_windows"](spark, folder).collect()]
     assert sorted(got) == sorted(want)
     assert {(d, pos) for d, pos, *_ in got} >= {(d, t) for d, n in TURNS.items() if n > 8 for t in range(n)}
