@@ -8,7 +8,9 @@ copy that begins after c of the source's words is due when the integral of its s
 its whole, which a closed form per line inverts. The copies are range-sorted by that position.
 
 A stream's running sums come in two steps, within ranges of the hash and over the ranges' sums, so that no task
-holds a source: a source with a third of all rows is dealt over as many ranges as it has rows in thousands.
+holds a source: a source with a third of all rows is dealt over as many ranges as it has rows in thousands. Places in
+an order over all rows (sources by code point, copies by position) are read off a range-sorted table: the rows of the
+files before, and the row's place in its file. The budget's level is found by rounds of sums over all sources.
 
 Null sources are one source, the last. Rows of size null or 0 take no words. Repeated rows are separate
 documents. An empty table gives an empty result.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subtide.llm.common import table, tune
+from subtide.llm.common import table, tune, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: About so many documents lie in one range of the hash; a source's ranges are bounded.
@@ -57,19 +59,38 @@ def due(schedule: Schedule, part: Column) -> Column:
     return out
 
 
+def ranked(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """rows with their places, from 0, in an order over all of them, by a range-sorted table."""
+    laid = written(rows.orderBy(*order))
+    name = F.col("_metadata.file_name")
+    files = laid.groupBy(name.alias("__name")).agg(F.count("*").alias("__n"))
+    # a row a file: as many as a shuffle has partitions
+    by_part = W.orderBy(F.regexp_extract("__name", r"^part-(\d+)", 1).cast("long"), "__name")
+    files = files.withColumn("__before", F.coalesce(F.sum("__n").over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    placed = laid.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(files), F.col("__file") == F.col("__name"))
+    return placed.withColumn(to, F.col("__before") + F.col("__row")).drop("__file", "__row", "__name", "__before")
+
+
 def targets(sizes: DataFrame, weights: list[float], share: float, repeats: float) -> DataFrame:
     """sizes: (source, source_size). Adds each source's place in code-point order and its target."""
-    ranked = sizes.withColumn("place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("place") % len(weights) + 1)
-    ranked = ranked.withColumns({"weight": weight, "cap": F.col("source_size") * float(repeats)})
-    by_limit = W.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, all_rows = by_limit.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    level = (F.sum("source_size").over(all_rows) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(by_limit.rowsBetween(0, W.unboundedFollowing))
-    ranked = ranked.withColumns({"level": level, "nth": F.row_number().over(by_limit)})
-    first = F.min(F.when(F.col("level") < F.col("cap") / F.col("weight"), F.struct("nth", "level"))).over(all_rows)
-    ranked = ranked.withColumn("open", first["level"])
-    target = F.when(F.col("open").isNull() | (F.col("cap") / F.col("weight") <= F.col("open")), F.col("cap")).otherwise(F.col("open") * F.col("weight"))
-    return ranked.select("source", "source_size", "place", target.alias("target"))
+    placed = ranked(sizes, [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = written(placed.withColumns({"weight": weight, "cap": F.col("source_size") * float(repeats)}))
+    budget = (rows.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    # sources over the level stay open; each round shares out what those below it leave, so the level only rises
+    level, closed = 0.0, -1
+    while True:
+        shut = F.col("cap") / F.col("weight") <= level
+        got = rows.agg(F.sum(F.when(shut, F.col("cap"))), F.sum(F.when(~shut, F.col("weight"))), F.count(F.when(shut, 1))).first()
+        if got[2] == closed:
+            break
+        if got[1] is None:  # all sources stop
+            level = None
+            break
+        closed, level = got[2], (budget - (got[0] or 0.0)) / got[1]
+    limit = F.lit(level).cast("double")
+    target = F.when(limit.isNull() | (F.col("cap") / F.col("weight") <= limit), F.col("cap")).otherwise(limit * F.col("weight"))
+    return rows.select("source", "source_size", "place", target.alias("target"))
 
 
 def hash_order(key: Column) -> Column:
@@ -88,16 +109,15 @@ def streams(docs: DataFrame, key: str, source: str, size: str, schedules: list[S
     docs = docs.drop(*[c for c in ("source_size", "target", "copies", "positions", "position", "place") if c not in (key, source, size)])
     base = docs.withColumns({"__size": F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0).cast("long")), "__order": hash_order(F.col(f"`{key}`"))})
     light = base.select(F.col(f"`{source}`").alias("source"), "__size", "__order")
-    per_source = light.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n"))
-    made = targets(per_source.select("source", "source_size"), [integral(s) for s in schedules], share, repeats)
-    known = per_source.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
-    if known["sources"] <= BROADCAST_SOURCES:
-        made = F.broadcast(made)
-    ranges = 1
-    while ranges * RANGE_ROWS < (known["n"] or 0) and ranges < MOST_RANGES:
+    ranges, n = 1, docs.count()
+    while ranges * RANGE_ROWS < n and ranges < MOST_RANGES:
         ranges *= 2
     part = F.floor(F.col("__order") / ((1 << 60) // ranges)).cast("long")
-    sums = light.groupBy("source", part.alias("__range")).agg(F.sum("__size").alias("__sum"))
+    sums = written(light.groupBy("source", part.alias("__range")).agg(F.sum("__size").alias("__sum")))
+    per_source = sums.groupBy("source").agg(F.sum("__sum").alias("source_size"))
+    made = targets(per_source, [integral(s) for s in schedules], share, repeats)
+    if made.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        made = F.broadcast(made)
     starts = sums.select(
         F.col("source").alias("__of"), "__range",
         F.coalesce(F.sum("__sum").over(W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"),
@@ -129,17 +149,43 @@ def mix(docs: DataFrame, key: str, source: str, size: str, schedules: list[Sched
     return rows.orderBy("position", F.col(f"`{key}`"))
 
 
+def order_of_mix(made: DataFrame, key: str, size: str) -> DataFrame:
+    """streams() with position and place (from 0) of each document's first copy in the whole mix; null if none is taken."""
+    copies = made.withColumn("__copies", F.when(F.size("positions") > 0, F.col("positions")).otherwise(F.array(F.lit(None).cast("double"))))
+    copies = copies.select("*", F.posexplode("__copies").alias("__nth", "position")).drop("__copies")
+    laid = ranked(copies, [F.col("position").asc_nulls_last(), F.col(f"`{key}`"), F.col(f"`{size}`"), F.col("__nth")], "mix_place")
+    return laid.filter(F.col("__nth") == 0).withColumn("mix_place", F.when(F.col("position").isNotNull(), F.col("mix_place"))).drop("__nth")
+
+
+def _sized(spark, sf_dir: str) -> DataFrame:
+    """Documents without their texts; words are counted once."""
+    docs = table(spark, sf_dir, "documents")
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+
+
 def op7_mix(spark, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    made = streams(docs, "doc_id", "source", "size")
-    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """What the mix takes of each document of documents, and where its first copy comes."""
+    tune(spark)
+    made = order_of_mix(streams(_sized(spark, sf_dir), "doc_id", "source", "size"), "doc_id", "size")
+    first = F.floor(F.col("position") * 1e6).cast("long")
+    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), first.alias("position_ppm"), "mix_place")
 
 
 def op7_mix_order(spark, sf_dir: str) -> DataFrame:
     """The mix of documents in training order: a row for each copy, with its position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(docs, "doc_id", "source", "size").select("doc_id", "source", "size", "position")
+    return mix(_sized(spark, sf_dir), "doc_id", "source", "size").select("doc_id", "source", "size", "position")
+
+
+def _due_sql(schedule: Schedule, part: str) -> str:
+    """due() in SQL."""
+    whole, done, steps = integral(schedule), 0.0, []
+    number = lambda x: f"{float(x)!r}::DOUBLE"
+    for (t, w), (u, v) in zip(schedule, schedule[1:], strict=False):
+        rest, slope = f"({part} * {number(whole)} - {number(done)})", (v - w) / (u - t)
+        root = f"sqrt(greatest(0::DOUBLE, {number(w * w)} + {rest} * {number(2 * slope)}))"
+        done += (u - t) * (w + v) / 2
+        steps.append(f"WHEN {part} <= {number(done / whole)} THEN {number(t)} + {rest} * 2 / ({root} + {number(w)})")
+    return f"CASE {' '.join(steps)} ELSE {number(schedule[-1][0])} END"
 
 
 OP7_SQL = r"""
@@ -151,10 +197,16 @@ l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(c
   / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
   row_number() OVER (ORDER BY cap / w, place) AS nth FROM k),
 o AS (SELECT *, arg_min(level, nth) FILTER (WHERE level < cap / w) OVER () AS open FROM l),
-t AS (SELECT source, source_size, CASE WHEN open IS NULL OR cap / w <= open THEN cap ELSE open * w END AS target FROM o),
+t AS (SELECT source, source_size, place, CASE WHEN open IS NULL OR cap / w <= open THEN cap ELSE open * w END AS target FROM o),
 r AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d)
-SELECT doc_id, size, source_size, target,
-  (size * ((b + size / 2.0::DOUBLE <= target)::INT + (source_size + b + size / 2.0::DOUBLE <= target)::INT))::BIGINT AS taken
-FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d),
+j AS (SELECT r.*, t.source_size, t.target, t.place FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, unnest([0, 1]) AS nth FROM j), y AS (SELECT *, nth * source_size + b AS w0, nth * source_size + b + size / 2.0::DOUBLE <= target AS used FROM c),
+x AS (SELECT *, coalesce(CASE WHEN target > 0 THEN w0 / target END, 0.0::DOUBLE) AS part FROM y WHERE used),
+q AS (SELECT *, CASE (place - 1) % 3 """ + " ".join(f"WHEN {n} THEN {_due_sql(s, 'part')}" for n, s in enumerate(CURRICULUM)) + r""" END AS position FROM x),
+z AS (SELECT *, row_number() OVER (ORDER BY position, doc_id, size, nth) - 1 AS mix_place FROM q)
+SELECT j.doc_id, j.size, j.source_size, j.target,
+  (j.size * ((j.b + j.size / 2.0::DOUBLE <= j.target)::INT + (j.source_size + j.b + j.size / 2.0::DOUBLE <= j.target)::INT))::BIGINT AS taken,
+  floor(z.position * 1e6::DOUBLE)::BIGINT AS position_ppm, z.mix_place::BIGINT AS mix_place
+FROM j LEFT JOIN z ON z.nth = 0 AND z.doc_id IS NOT DISTINCT FROM j.doc_id AND z.source IS NOT DISTINCT FROM j.source AND z.size = j.size AND z.b = j.b
 """
