@@ -51,7 +51,44 @@ def test_official_texts(spark):
     for d, r in got.items():
         assert r["licenses"] == OFFICIAL[d // 10][1], (text[d], r["sentence_ids"])
         assert r["rest_ids"] == [], text[d]
-    assert len(got) == 5 * len(OFFICIAL) and {name for name, _ in licenses.RULES} == {name for _, names in OFFICIAL for name in names}
+    assert len(got) == 5 * len(OFFICIAL)
+
+
+def sentence(k):
+    kind, _, name = k.partition("-")
+    if k in licenses.SENTENCES:
+        return licenses.SENTENCES[k][-1]
+    known = {"ref": "this library is licensed under the terms of the ", "title": "the ", "spdx": licenses.SPDX}[kind]
+    return known + (next(i for i, x in licenses.IDENTIFIERS.items() if x == name) if kind == "spdx" else licenses.NAMES[name][-1])
+
+
+def test_every_rule(spark):
+    rows = [(n, ".\n".join(sentence(k).upper() for k in run) + ". A licence.") for n, (_, run) in enumerate(licenses.RULES)]
+    # an unknown sentence between two of a run's parts it
+    rows += [(1000 + n, ". Something else. ".join(map(sentence, run)) + ". A permission.") for n, (_, run) in enumerate(licenses.RULES) if len(run) > 1]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, (name, run) in enumerate(licenses.RULES):
+        assert got[n]["licenses"] == [name] and got[n]["sentence_ids"] == run and got[n]["rest_ids"] == [], (name, run)
+        if len(run) > 1:
+            single = [rule for rule, ids in licenses.RULES if len(ids) == 1 and ids[0] in run]
+            assert got[1000 + n]["licenses"] == list(dict.fromkeys(single)) and got[1000 + n]["sentence_ids"] == run
+    # every way of naming a licence
+    rows = list(enumerate(f"Released under the {name}." for name in licenses.NAMED))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[n] for n in range(len(rows))] == [[k] for k in licenses.NAMED.values()]
+
+
+def test_notices_of_files(spark):
+    rows = [
+        (1, "/*\n * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"),
+        (2, "-- This library is free software; you can redistribute it and/or\n-- modify it under the terms of the GNU Lesser General Public\n-- License as published by the Free Software Foundation; either\n-- version 2.1 of the License, or (at your option) any later version.\n"),
+        (3, "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans."),
+        (4, "// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)"),
+        (5, "# This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        (6, "MIT License\n\nWe like the permission of the author."), (7, "The MIT wants a licence to teach."),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MPL-2.0"], 2: ["LGPL-2.1-or-later"], 3: ["Unlicense"], 4: ["BSL-1.0"], 5: ["AGPL-3.0-or-later"], 6: [], 7: []}
 
 
 def test_paragraphs_are_not_joined(spark):
