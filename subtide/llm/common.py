@@ -13,28 +13,45 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql.functions import broadcast, col
 
-#: Rows in one Arrow batch: bounds what a Python worker holds of very long texts.
-ARROW_ROWS = 256
+#: Rows and about bytes in one Arrow batch: bounds what a Python worker holds of very long texts.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings that every operator here relies on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="subtide-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one, but only if all runs on one machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="subtide-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    context.setCheckpointDir(made)
+    return made
+
+
+#: Tables of written() that are still there; the program's end deletes them.
+_LEFT: dict[str, tuple] = {}
+
+
+@atexit.register
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes all tables of written(), of one session or of all; results that were not used yet can't be used any more."""
+    for path, (session, where, conf) in list(_LEFT.items()):
+        if spark in (None, session):
+            _LEFT.pop(path)
+            with contextlib.suppress(Exception):  # the session's process may be gone
+                where.getFileSystem(conf).delete(where, True)
 
 
 #: Paths of tables written by the stage of a pipeline that runs now; None outside of one.
@@ -65,6 +82,7 @@ def stage(spark: SparkSession, docs: DataFrame):
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -73,6 +91,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/subtide-{uuid.uuid4().hex}"
+    _LEFT[path] = spark, spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     if _STAGE is not None:
@@ -124,6 +143,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest(hashes: DataFrame, column: str, n: int) -> int | None:
+    """The n-th smallest of the distinct hashes in a column of longs (the greatest, if there are fewer); None without any.
+
+    Only the smallest hashes, about four times as many as wanted, are told apart, so a hash that very many rows share
+    takes one place and no task holds more.
+    """
+    rows = hashes.count()
+    if not rows:
+        return None
+    most = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / rows)) - 1
+    low = hashes.filter(col(column) <= most) if 4 * n < rows else hashes
+    got = low.select(column).distinct().orderBy(column).limit(n).agg({column: "max"}).first()[0]
+    # too few distinct ones lie that low: look at all
+    return hashes.select(column).distinct().orderBy(column).limit(n).agg({column: "max"}).first()[0] if got is None else got
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (splitmix64), elementwise; the input array is overwritten."""
     with np.errstate(over="ignore"):

@@ -7,9 +7,10 @@ Evidence for each language, and for "und" (no language of the model):
 - the place: a host's prior is smoothed toward its domain's, that toward its address suffix's, that toward the
   overall one; all come from grouped sums of text posteriors, and a row's own part is taken out of its host's.
 
-The text model is fitted on labelled rows: at most TRAIN_ROWS, those with the smallest hashes of their keys. Every
-row counts for priors and is scored on its whole text. Grouped sums are pre-aggregated per task, so a host with a
-third of all rows is one row a task; the join back is of narrow rows without texts.
+The text model is fitted on labelled rows: at most TRAIN_ROWS, those with the smallest hashes of their keys, of rows
+that share a key one. Languages beyond the MOST_LANGUAGES commonest of them are one, "other". Every row counts for
+priors and is scored on its whole text. Grouped sums are pre-aggregated per task, so a host with a third of all rows
+is one row a task; the join back is of narrow rows without texts.
 
 Null and empty texts, and texts without a letter, are "und", rejected. Null hosts or declarations give no
 evidence of that kind. Repeated rows are separate rows. An empty table gives an empty result.
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subtide.llm.common import table, trimmed, tune, written
+from subtide.llm.common import dropped, smallest, table, trimmed, tune, written
 
-#: Bound of the labelled sample, of the languages of a model, and of trigrams hashed.
-TRAIN_ROWS, MOST_LANGUAGES, FEATURES = 3000, 64, 1 << 16
+#: Bound of the labelled sample, of the languages of a model (the others are one, OTHER), and of trigrams hashed.
+TRAIN_ROWS, MOST_LANGUAGES, FEATURES = 3000, 128, 1 << 16
+OTHER = "other"
 #: A text speaks with this part of its trigrams, and with so many at most.
 TEMPER, MOST_EVIDENCE = 0.25, 400
 #: Log-likelihood of a trigram in no language; weight of the wider place in a place's prior; of a declaration's counts.
@@ -39,12 +41,36 @@ LEAST = 0.5
 CHUNK = 1 << 20
 
 _KEEP = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+_OPEN = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
 
 
 def page_text(html: str) -> str:
-    """A page's text: without scripts, styles, comments and tags, entities resolved."""
-    return html_lib.unescape(_DROP.sub(" ", html))
+    """A page's text: without scripts, styles, comments and tags, entities resolved. One pass; what isn't closed stays text."""
+    out, done, at, missing = [], 0, 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        """The end of what closes a kind of markup, -1 if nothing does; once missing, it is not looked for again."""
+        if kind in missing:
+            return -1
+        if kind in _CLOSE:
+            found = _CLOSE[kind].search(html, start)
+            end = found.end() if found else -1
+        else:
+            end = html.find(kind, start)
+            end += len(kind) if end >= 0 else 0
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    while m := _OPEN.search(html, at):
+        tries = [(m[1].lower(), m.end())] if m[1] else [("-->", m.end())] if m[2] else []
+        end = next((e for kind, start in [*tries, (">", m.start() + 1)] if (e := end_of(kind, start)) >= 0), -1)
+        if end < 0:
+            break  # no tag ends any more
+        out += [html[done : m.start()], " "]
+        done = at = end
+    return html_lib.unescape("".join([*out, html[done:]]))
 
 
 def features(data: bytes):
@@ -62,26 +88,34 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[list[str],
     tune(labelled.sparkSession)
     rows = labelled.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    cut = rows.select("h").orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
+    cut = smallest(rows.select("h"), "h", TRAIN_ROWS)
     if cut is None:
         return ["und"], np.full((FEATURES, 1), UNKNOWN, np.float32)
 
+    sample = written(rows.filter(F.col("h") <= cut).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*"))
+    common_ = [r["lang"] for r in sample.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+    named = sample.withColumn("lang", F.when(F.col("lang").isin(common_), F.col("lang")).otherwise(OTHER))
+
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                into = sums.setdefault(lang_, np.zeros(FEATURES, np.float32))
-                for codes in features(text_.encode()):
+            for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                into = sums.setdefault(lang_, np.zeros(FEATURES, np.int64))
+                for codes in features(text_.as_py().encode()):
                     into += np.bincount(codes, minlength=FEATURES)
         for lang_, got in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang_], "counts": [got.tobytes()]})
-
-    sample = rows.filter(F.col("h") <= cut).select("lang", "text").coalesce(1)
-    got = sorted((r["lang"], np.frombuffer(r["counts"], np.float32)) for r in sample.mapInArrow(count, "lang string, counts binary").collect())
-    if len(got) > MOST_LANGUAGES:
-        raise ValueError(f"{len(got)} languages; the bound is {MOST_LANGUAGES}")
-    logs = [np.log((c + 0.05) / (c.sum() + 0.05 * FEATURES)) for _, c in got]
-    return [k for k, _ in got] + ["und"], np.stack([*logs, np.full(FEATURES, UNKNOWN)], 1).astype(np.float32)
+            seen = np.flatnonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(got[seen])], ["lang", "code", "n"])
+
+    # tasks send sums of their texts; at most FEATURES a language come to the driver
+    got = named.mapInArrow(trimmed(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    dropped(sample)
+    names = sorted(set(got["lang"].to_pylist()))
+    counts = np.zeros((FEATURES, len(names)))
+    place = {k: n for n, k in enumerate(names)}
+    counts[got["code"].to_numpy(), [place[k] for k in got["lang"].to_pylist()]] = got["n"].to_numpy()
+    logs = np.log((counts + 0.05) / (counts.sum(0) + 0.05 * FEATURES))
+    return names + ["und"], np.concatenate([logs, np.full((FEATURES, 1), UNKNOWN)], 1).astype(np.float32)
 
 
 def text_evidence(rows: DataFrame, text: str, keep: list[str], model: tuple[list[str], np.ndarray], html: bool = False) -> DataFrame:
