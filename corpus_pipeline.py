@@ -82,7 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.inputFiles():
         place = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("int").alias("part"), F.col("_metadata.row_index").alias("row")]
     placed = docs.select("doc_id", "text", "lang", "source", *place)
-    both = bpe.decode(bpe.encode(placed, path, keep=["doc_id", "lang", "source", "part", "row"]), path)
+    both = bpe.round_trip(placed, path, keep=["doc_id", "lang", "source", "part", "row"])
     return both.select("doc_id", "lang", "source", "part", "row", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

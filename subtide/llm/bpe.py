@@ -1,12 +1,15 @@
 """BPE encoding and decoding.
 
 Encoding takes the longest token matches of one Aho-Corasick pass over a word and checks each against the one
-before it in a table of compatible pairs; where a pair is not compatible, it tries shorter tokens and steps back. Two neighbours are compatible if byte-pair merging of their concatenation gives the two back, which
-the formation order along the right edge of one and the left edge of the other decides. A prefix of a word
-has one such tokenization, so a position that failed once is never tried again: the walk is linear and its
-result equals exact merging. Decoding slices one blob of token texts by an offset table.
-
-Null text counts as empty; empty text has no ids and decodes to "".
+before it in a table of compatible pairs; where a pair is not compatible, it goes on to the next shorter match at the
+place and, after the last, steps back. Two neighbours are compatible if byte-pair merging of their concatenation gives
+the two back, which the formation order along the right edge of one and the left edge of the other decides. A prefix
+of a word has one such tokenization, so a position that failed once is never tried again: the walk is linear and its
+result equals exact merging. Decoding gathers the bytes of all ids of a batch from one blob of token texts by an
+offset table; it makes no Python object a token.
+
+Null text counts as empty; empty text has no ids and decodes to "". Repeated rows give repeated results, an empty
+table an empty one.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from subtide.llm.common import table, trimmed, tune
 
-#: Distinct words whose ids a worker keeps; only saves time.
-CACHE_WORDS = 200_000
-#: Bytes of results in one Arrow batch.
-BATCH_BYTES = 4 << 20
+#: Distinct chunks, words and pairs whose results a task keeps, and those that it keeps from before; only saves time.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 120_000, 60_000, 250_000
+#: Bytes of results in one Arrow batch; ids that are gathered at once.
+BATCH_BYTES, GATHER = 4 << 20, 1 << 17
 INFINITE = 1 << 62
 PAIR = 1 << 32
 
@@ -67,11 +70,37 @@ class Spec:
         return Spec(tokens, merges, special, model["end_of_word_suffix"], split)
 
 
+class Kept(dict):
+    """A bounded cache: when it is full it becomes the older half, of which what is asked for comes back."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def found(self, key):
+        """The result of a key that is not in the newer half."""
+        got = self.older.get(key)
+        if got is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 @dataclass
 class Coder:
     spec: Spec
-    _words: dict = field(default_factory=dict)
-    _pairs: dict = field(default_factory=dict)
+    _chunks: Kept = field(default_factory=lambda: Kept(CACHE_CHUNKS))
+    _words: Kept = field(default_factory=lambda: Kept(CACHE_WORDS))
+    _pairs: Kept = field(default_factory=lambda: Kept(CACHE_PAIRS))
 
     def __post_init__(self) -> None:
         letters, end = byte_letters(), self.spec.suffix
@@ -96,17 +125,26 @@ class Coder:
         for n in ids.values():
             self._edge(n)
         self.machine = ahocorasick.Automaton()
-        self.ids: dict[str, int] = {}
+        found: dict[str, tuple[int, int]] = {}
         for text, n in ids.items():
             if text != end and self._reachable(n) and (key := packed(text)):
-                self.machine.add_word(key, (len(key), n))
-                self.ids[key] = n
-        self.longest = max(map(len, self.ids))
+                found[key] = (len(key), n)
+        # shorter[t]: the longest other token that t begins with
+        self.shorter: list[tuple[int, int] | None] = [None] * len(self.spec.tokens)
+        for key, match in found.items():
+            self.machine.add_word(key, match)
+            self.shorter[match[1]] = next((found[key[:k]] for k in range(match[0] - 1, 0, -1) if key[:k] in found), None)
         self.machine.make_automaton()
         self.split = regex.compile(self.spec.split)
         self.splitter = pre_tokenizers.Split(Regex(self.spec.split), "removed", invert=True)
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.spec.special, key=len, reverse=True))) + ")") if special else None
+
+    def forget(self) -> None:
+        """Lets kept results go."""
+        for kept in (self._chunks, self._words, self._pairs):
+            kept.forget()
+
     def _edge(self, n: int) -> None:
         for edges, side in ((self.right_edge, 1), (self.left_edge, 0)):
             steps, at = [], n
@@ -147,10 +185,9 @@ class Coder:
     def compatible(self, a: int, b: int) -> bool:
         key = a * PAIR + b
         got = self._pairs.get(key)
-        if got is None:
-            if len(self._pairs) > 500_000:
-                self._pairs.clear()
-            got = self._pairs[key] = self._first_cross(a, b)[0] == INFINITE
+        if got is None and (got := self._pairs.found(key)) is None:
+            got = self._first_cross(a, b)[0] == INFINITE
+            self._pairs.keep(key, got)
         return got
 
     def merged(self, word: str) -> list[int]:
@@ -158,68 +195,80 @@ class Coder:
         raw = word.encode()
         text = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         # the longest token from each place on; neighbours that are all compatible make the one right result
-        chosen, last, at, pairs, size_all = [], 0, 0, self._pairs, len(text)
-        for end, (size, n) in self.machine.iter_long(text):
+        chosen, last, at, pairs = [], -1, 0, self._pairs
+        for end, match in self.machine.iter_long(text):
+            size, n = match
             if end + 1 - size != at:
-                break
+                raise ValueError("a letter of the word is not in the vocabulary")
             if at:
                 ok = pairs.get(last * PAIR + n)
                 if ok is False or ok is None and not self.compatible(last, n):
-                    break
-            chosen.append((size, n))
+                    return self._walked(text, chosen, at, n)
+            chosen.append(match)
             last, at = n, end + 1
-        return [n for _, n in chosen] if at == size_all else self._walked(text, chosen, at)
+        if at != len(text):
+            raise ValueError("a letter of the word is not in the vocabulary")
+        return [n for _, n in chosen]
 
-    def _walked(self, text: str, chosen: list[tuple[int, int]], at: int) -> list[int]:
-        """Goes on from the places that the longest matches have reached, trying shorter ones and stepping back."""
-        ids, longest, whole, compatible, dead = self.ids, self.longest, len(text), self.compatible, set()
-        size = min(longest, whole - at)
+    def _walked(self, text: str, chosen: list[tuple[int, int]], at: int, failed: int) -> list[int]:
+        """Goes on from the place where a match failed, taking the next shorter match there or stepping back."""
+        whole, compatible, shorter, longest, dead = len(text), self.compatible, self.shorter, self.machine.iter_long, set()
+        match = shorter[failed]
         while at < whole:
-            while size:
-                n = ids.get(text[at : at + size])
-                if n is not None and at + size not in dead and (not chosen or compatible(chosen[-1][1], n)):
-                    chosen.append((size, n))
+            while match:
+                size, n = match
+                if at + size not in dead and (not chosen or compatible(chosen[-1][1], n)):
+                    chosen.append(match)
                     at += size
-                    size = min(longest, whole - at)
+                    match = next(longest(text, at))[1] if at < whole else None
                     break
-                size -= 1
+                match = shorter[n]
             else:
                 if not chosen:
                     raise ValueError("a letter of the word is not in the vocabulary")
                 dead.add(at)
-                size, _ = chosen.pop()
+                size, n = chosen.pop()
                 at -= size
-                size -= 1
+                match = shorter[n]
         return [n for _, n in chosen]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, as little-endian 32-bit integers."""
+        got = self._words.get(word)
+        if got is None and (got := self._words.found(word)) is None:
+            ids = self.merged(word)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= 64:
+                self._words.keep(word, got)
+        return got
+
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of text without white space, as little-endian 32-bit integers."""
+        """Ids of text without white space."""
         if chunk.isascii():
             chunk = chunk.lower()
-            words = [chunk] if chunk.isalpha() else self.split.findall(chunk)
+            if chunk.isalpha():
+                return self._word(chunk)
+            words = self.split.findall(chunk)
         elif max(chunk) < "\u0250":  # no letter here changes under NFC
             words = self.split.findall(chunk.lower())
         else:  # letters newer than this Python's tables are known to the library
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normal.normalize_str(chunk))]
-        ids: list[int] = []
-        for word in words:
-            ids += self.merged(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._word, words))
 
     def _plain(self, text: str) -> bytes:
-        words, get = self._words, self._words.get
         # str.split() also splits at four control characters that the vocabulary's white space lacks
         chunks = regex.split(r"[^\S\x1c-\x1f]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        out = []
-        for c in chunks:
-            got = get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) <= 64:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[c] = got
-            out.append(got)
+        known = self._chunks
+        out = list(map(known.get, chunks))
+        if None in out:
+            for n, (c, got) in enumerate(zip(chunks, out, strict=True)):
+                if got is None:
+                    got = known.get(c)  # it may have come before in this text
+                    if got is None and (got := known.found(c)) is None:
+                        got = self._chunk(c)
+                        if len(c) <= 64:
+                            known.keep(c, got)
+                    out[n] = got
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -232,17 +281,34 @@ class Coder:
 
 
 class Decoder:
-    """Token texts in one blob, cut by an offset table; needs none of the encoder's tables."""
+    """Token texts in one blob, each with a space behind it, and an offset table; needs none of the encoder's tables."""
 
     def __init__(self, spec: Spec) -> None:
-        texts = [t.encode() for t in spec.tokens]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).tolist()
-        blob = b"".join(texts)
-        self.pieces = [blob[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        texts = [t.encode() + b" " for t in spec.tokens]
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        self.sizes = np.diff(self.offsets)
+        self.blob = np.frombuffer(b"".join(texts), np.uint8)
+
+    def texts(self, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows' texts, and where each begins (and the last ends). counts: ids of each row."""
+        sizes = self.sizes[ids]
+        last = np.cumsum(counts)[counts > 0] - 1
+        sizes[last] -= 1  # no space behind a row's last token
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        for a in range(0, len(ids), GATHER):
+            size = sizes[a : a + GATHER]
+            begin = ends[a : a + GATHER] - size
+            n = int(size.sum())
+            shift = np.repeat(self.offsets[ids[a : a + GATHER]] - begin, size)
+            out[begin[0] : begin[0] + n] = self.blob[np.arange(begin[0], begin[0] + n) + shift]
+        row_ends = np.zeros(len(counts) + 1, np.int64)
+        row_ends[1:] = np.append(ends, 0)[np.cumsum(counts) - 1] if len(ends) else 0
+        return out, np.maximum.accumulate(row_ends)
 
     def decode(self, ids: bytes | None) -> bytes:
-        pieces = self.pieces
-        return b" ".join([pieces[n] for n in np.frombuffer(ids or b"", "<u4").tolist()])
+        one = np.frombuffer(ids or b"", "<u4").astype(np.int64)
+        return self.texts(np.array([len(one)]), one)[0].tobytes()
 
 
 _MADE: dict[tuple[str, type], Coder | Decoder] = {}
@@ -255,27 +321,56 @@ def _made(kind: type, path: str, shared):
     return _MADE[path, kind]
 
 
-def _mapped(df: DataFrame, column: str, to: str, kind: str, path: str, method: str, keep: list[str]) -> DataFrame:
-    """df's keep columns and, as column to, a method's result for each value of column."""
+def _encoded(coder: Coder, batch: pa.RecordBatch, at: int):
+    """(first row, ids of some rows) of a batch, until it is done."""
+    done, size, start = [], 0, 0
+    for n, value in enumerate(batch.column(at)):
+        done.append(coder.encode(value.as_py()))
+        size += len(done[-1])
+        if size >= BATCH_BYTES:
+            yield start, pa.array(done, pa.binary())
+            done, size, start = [], 0, n + 1
+    if done:
+        yield start, pa.array(done, pa.binary())
+
+
+def _decoded(decoder: Decoder, ids: pa.Array) -> pa.Array:
+    """Texts of an array of ids."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+    data = ids.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    out, where = decoder.texts(np.diff(ends) // 4, np.frombuffer(flat.tobytes(), "<u4").astype(np.int64))
+    return pa.StringArray.from_buffers(len(ids), pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()))
+
+
+def _mapped(df: DataFrame, column: str, path: str, keep: list[str], to: list[tuple[str, str]]) -> DataFrame:
+    """df's keep columns and, named by to, (ids) or (decoded) or both of each value of column, a text or ids."""
     spark = df.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(Spec.read(path))
-    out_type = {"binary": pa.binary(), "string": pa.string()}[kind]
-    plain = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__value"))
-    schema = plain.drop("__value").schema.add(to, kind)
+    value = F.col(f"`{column}`")
+    kinds = [kind for _, kind in to]
+    if "ids" not in kinds:
+        value = F.coalesce(value, F.lit(b""))
+    plain = df.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value"))
+    schema = plain.drop("__value").schema
+    for name, kind in to:
+        schema = schema.add(name, "binary" if kind == "ids" else "string")
 
     def run(batches):
-        apply = getattr(_made(Coder if method == "encode" else Decoder, path, shared), method)
-        for batch in batches:
-            rest, values = batch.drop_columns(["__value"]), batch.column(batch.num_columns - 1)
-            done, size, start = [], 0, 0
-            for n in range(batch.num_rows):
-                done.append(apply(values[n].as_py()))
-                size += len(done[-1])
-                if size >= BATCH_BYTES or n + 1 == batch.num_rows:
-                    got = pa.array(done, pa.binary())
-                    yield pa.RecordBatch.from_arrays([*rest.slice(start, len(done)).columns, got.cast(out_type)], [*rest.schema.names, to])
-                    done, size, start = [], 0, n + 1
+        coder = _made(Coder, path, shared) if "ids" in kinds else None
+        decoder = _made(Decoder, path, shared) if "decoded" in kinds else None
+        try:
+            for batch in batches:
+                at = batch.num_columns - 1
+                made = _encoded(coder, batch, at) if coder else [(0, batch.column(at))] if batch.num_rows else []
+                for start, ids in made:
+                    new = {"ids": ids} | ({"decoded": _decoded(decoder, ids)} if decoder else {})
+                    rest = [batch.column(n).slice(start, len(ids)) for n in range(at)]
+                    yield pa.RecordBatch.from_arrays([*rest, *[new[k] for k in kinds]], schema.fieldNames())
+        finally:
+            if coder:
+                coder.forget()
 
     return plain.mapInArrow(trimmed(run), schema)
 
@@ -283,13 +378,19 @@ def _mapped(df: DataFrame, column: str, to: str, kind: str, path: str, method: s
 def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds the ids of each whole text as little-endian 32-bit integers; keep: columns that stay (default: all others)."""
     keep = [c for c in df.columns if c not in (text, to)] if keep is None else keep
-    return _mapped(df, text, to, "binary", path, "encode", keep)
+    return _mapped(df, text, path, keep, [(to, "ids")])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the text of each row's ids; special tokens stay, null ids count as none."""
     keep = [c for c in df.columns if c != to] if keep is None else keep
-    return _mapped(df, ids, to, "string", path, "decode", keep)
+    return _mapped(df, ids, path, keep, [(to, "decoded")])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Adds the ids of each whole text and the text that they decode to, in one pass."""
+    keep = [c for c in df.columns if c not in (text, ids, decoded)] if keep is None else keep
+    return _mapped(df, text, path, keep, [(ids, "ids"), (decoded, "decoded")])
 
 
 def vocabulary() -> str:
@@ -302,7 +403,7 @@ def op3_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Round trip of every whole text of documents, as digests."""
     path = path or vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
