@@ -1,17 +1,19 @@
 r"""Chat formatting of reply trees.
 
-Messages (tree, node, parent, role, text, score) are joined with themselves until every node knows its way to the
-root: in each round a node's way is continued by the way of the node it has reached, so a path of length n takes
-log2(n) rounds. The ways hold node keys only. Leaves' ways are the branches; a tree's best branches by mean score
-are chosen (top-k in two steps, so that a tree with a third of all branches is not one task's), texts are joined to
-the chosen ways, and each becomes one conversation.
+Messages (tree, node, parent, role, text, score) are joined with themselves until every node knows its root: in each
+round a node's pointer, 2^k steps up, is continued by the pointer of the node it has reached, with the sum of scores on
+the way, so a path of length n takes log2(n) rounds and no node carries its path. A tree's best leaves by mean score
+are chosen (top-k in two steps, so that a tree with a third of all branches is not one task's). Their paths are then
+listed by the rounds' pointers, the longest first: each round every listed node lists the one 2^k steps above it, so
+the rows are the chosen paths' nodes and no more. Texts are joined to them, and each path becomes one conversation.
 
 Template: an assistant's turn is <s>TEXT</s>, any other is [INST] ROLE newline TEXT [/INST]. A control string inside
 a text or role gets a backslash after its first character (one more if it has some), which reading takes off; in a
 role, backslash and line breaks are escaped too. The loss mask is the spans of code points of assistants' texts.
 
 Null text and role count as empty. A node whose parent is not in its tree is a root. Nodes in or below a ring have
-no root and are on no branch. Of rows with the same tree and node one is used (smallest parent, role, text).
+no root and are on no branch. Of rows with the same tree and node one is used (smallest parent, role, text). A null
+tree is a tree, a null node a node that none can answer. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,41 +77,64 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def branches(messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent", score: str = "score", best: int = 1) -> DataFrame:
-    """(tree, leaf, rank, nodes): the best root-to-leaf paths of each tree by mean score, null scores as 0; ties to the smaller leaf."""
+def _same(a: str, b: str):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def pointers(messages: DataFrame, tree: str, node: str, parent: str, score: str) -> list[DataFrame]:
+    """Tables (tree, node, up, total, depth) by round k: the node 2^k steps up (null beyond the root), and the sum of
+    scores and the number of the nodes from here to below it. The last has every node that has a root at depth's end.
+    """
     c = lambda x: F.col(f"`{x}`")
     rows = messages.groupBy(c(tree).alias("tree"), c(node).alias("node")).agg(F.min(c(parent)).alias("parent"), F.sum(F.coalesce(c(score).cast("double"), F.lit(0.0))).alias("s"), F.count("*").alias("k"))
-    rows = written(rows.withColumn("s", F.col("s") / F.col("k")).drop("k"))
-    known = rows.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    up = rows.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    # a node's way: its nodes from below the place it has reached down to itself; those that have reached a root are done
-    ways = written(up.select("tree", "node", F.col("p").alias("up"), F.array("node").alias("way"), F.col("s").alias("total")))
-    while ways.filter(F.col("up").isNotNull()).limit(1).count():
-        going, done = ways.filter(F.col("up").isNotNull()), ways.filter(F.col("up").isNull())
-        far = ways.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("total").alias("total2"))
-        # what has reached a node in a ring finds it gone
-        step = going.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
-        step = step.select("tree", "node", F.col("up2").alias("up"), F.concat("way2", "way").alias("way"), (F.col("total") + F.col("total2")).alias("total"))
-        # a way that meets itself is in or below a ring
-        further = written(done.unionByName(step.filter(F.size("way") == F.size(F.array_distinct("way")))))
-        dropped(ways)
-        ways = further
-    inner = rows.filter(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    leaves = ways.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-    leaves = leaves.withColumn("mean", F.col("total") / F.size("way"))
+    rows = written(rows.select("tree", "node", "parent", (F.col("s") / F.col("k")).alias("total")))
+    known = rows.select(F.col("tree").alias("t"), F.col("node").alias("up"))
+    first = rows.join(known, _same("tree", "t") & (F.col("parent") == F.col("up")), "left").select("tree", "node", "up", "total", F.lit(1).cast("long").alias("depth"))
+    out, going = [written(first)], None
+    dropped(rows)
+    while True:
+        open_ = out[-1].filter(F.col("up").isNotNull())
+        n = open_.count()
+        # on a path to a root some node reaches it in each round; what is left when none does is in or below a ring
+        if n == 0 or n == going:
+            return out
+        going = n
+        far = out[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        step = open_.join(far, _same("tree", "t") & (F.col("up") == F.col("n")))
+        step = step.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        out.append(written(out[-1].filter(F.col("up").isNull()).unionByName(step)))
+
+
+def branches(messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent", score: str = "score", best: int = 1) -> DataFrame:
+    """(tree, leaf, rank, at, node): the nodes, from the root at 0 on, of the best paths of each tree from root to leaf.
+
+    best by mean score, null scores as 0; ties to the smaller leaf.
+    """
+    rounds = pointers(messages, tree, node, parent, score)
+    inner = rounds[0].filter(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
+    leaves = rounds[-1].filter(F.col("up").isNull()).join(inner, _same("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
+    leaves = leaves.select("tree", "node", "depth", (F.col("total") / F.col("depth")).alias("mean"))
     order = [F.col("mean").desc(), F.col("node")]
     salted = leaves.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     first = salted.withColumn("r", F.row_number().over(W.partitionBy("tree", "salt").orderBy(*order))).filter(F.col("r") <= best)
     last = first.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(*order))).filter(F.col("rank") <= best)
-    return last.select("tree", F.col("node").alias("leaf"), "rank", F.col("way").alias("nodes"))
+    listed = written(last.select("tree", F.col("node").alias("leaf"), "rank", (F.col("depth") - 1).alias("at"), "node"))
+    for k in range(len(rounds) - 2, -1, -1):
+        # a pointer of round k leads 2^k steps up: from a place under 2^k there is none
+        up = rounds[k].filter(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        above = listed.filter(F.col("at") >= (1 << k)).join(up, _same("tree", "t") & (F.col("node") == F.col("n")))
+        further = written(listed.unionByName(above.select("tree", "leaf", "rank", (F.col("at") - (1 << k)).alias("at"), F.col("up").alias("node"))))
+        dropped(listed)
+        listed = further
+    dropped(*rounds)
+    return listed
 
 
 def conversations(messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str = "score", best: int = 1) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): the chosen branches as conversations; loss: spans of code points."""
     tune(messages.sparkSession)
     c = lambda x: F.col(f"`{x}`")
-    ways = branches(messages, tree, node, parent, score, best)
-    steps = ways.select("tree", "leaf", "rank", F.posexplode("nodes").alias("at", "node"))
+    steps = branches(messages, tree, node, parent, score, best)
     said = messages.groupBy(c(tree).alias("t"), c(node).alias("n")).agg(F.min(F.struct(c(parent).alias("p"), F.coalesce(c(role), F.lit("")).alias("role"), F.coalesce(c(text), F.lit("")).alias("text"))).alias("m"))
     turns = steps.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     turns = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("at", F.col("m.role").alias("role"), F.col("m.text").alias("text")))).alias("turns"))
