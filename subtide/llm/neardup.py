@@ -107,6 +107,7 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> Dat
                 nodes.append(node_of(sh) if len(sh) else None)
                 signs.append(signature(sh, factors, rows).tobytes() if len(sh) else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["key", "tag", "node", "bands"])
+        _WORDS.clear()
 
     return plain.mapInArrow(trimmed(run), "key long, tag long, node long, bands binary")
 
@@ -293,6 +294,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                 # another row may have the key and a text of that hash; its set is another
                 out.append(sh.astype("<u8").tobytes() if node_of(sh) == node else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.binary())], ["label", "node", "rows", "blocks", "block", "sh"])
+        _WORDS.clear()
 
     sets = found.mapInArrow(trimmed(run), "label long, node long, rows long, blocks int, block int, sh binary").filter(F.col("sh").isNotNull())
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -4,17 +4,21 @@ A rolling hash chooses triggers: of the TRIGGER-byte strings in a window of WIND
 is the window's trigger. Neighbouring windows with one trigger form a phrase, so a text is parsed into phrases that
 depend on content alone and repeat wherever the text repeats. As in a suffix array made of a dictionary and a parse,
 a suffix is known by its phrase and its place in it; since only equality of the first WINDOW bytes matters, sorted
-hashes (64 bits of the trigger and 48 of the phrase or window; two agree by chance in one of 2^112 pairs) stand for the lexical ranks.
+hashes (64 bits of the trigger and 64 of the phrase or window) stand for the lexical ranks, and suffixes are grouped,
+not ordered. Bytes are not compared: two different windows agree with a chance of one in 2^64 if they have one trigger.
 
 1. All triggers, packed by hash range: which occur twice? The answer is a bitmap of fixed size (at most 2^28 bits);
-   where it is too small for the data it lets more through to the next step, and nothing is lost.
-2. The phrases of those triggers, packed by trigger: an occurrence of a phrase that a smaller document holds too is
-   covered whole. A trigger with several phrases can repeat in part of a phrase: the first holders are looked into.
-3. Windows of those phrases, packed by hash: all but those in the smallest document are covered.
+   where it is too small for the data it lets more through to the next step, and nothing is lost. Triggers that fill
+   a good part of their range are listed as hot.
+2. The phrases of those triggers, packed by trigger, those of hot triggers by phrase: an occurrence of a phrase that a
+   smaller document holds too is covered whole. A trigger with several phrases can repeat in part of a phrase: the
+   first holders are looked into.
+3. Windows of those phrases, packed by trigger or, of hot ones, by window: all but those in the smallest document are covered.
 4. The covered bytes are cut out of each document.
 
-Occurrences are combined per task before every shuffle (one per phrase or window survives), so a passage that a third of all
-documents share is as many rows as there are tasks. A group meets only in sorted arrays; no pairs are made.
+Occurrences are combined per task before every shuffle (one per phrase or window survives), so a passage that a third of
+all documents share is as many rows as there are tasks. A group meets only in sorted arrays; no pairs are made. Where
+texts are needed, spans and texts come as one sorted stream, the spans of about a thousand documents first.
 
 Null texts are empty. Texts under WINDOW bytes have no window. Rows with one doc_id don't remove from each other;
 a tag tells them apart: the 64-bit hash of the text where a doc_id has several rows, else 0, which takes no disk.
@@ -29,26 +33,30 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trim, trimmed, tune, written
+from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trimmed, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
-#: Bytes that are hashed at once; longer documents go in overlapping pieces. Entries that a task holds before it passes them on.
-PIECE, HOLD = 1 << 17, 1 << 19
-#: Bits of the bitmap of repeated triggers; documents of a bucket in the steps that need texts.
-LEAST_BITS, MOST_BITS, BUCKET_DOCS = 16, 28, 96
+#: Bytes that are hashed at once; longer documents go in overlapping pieces. Entries that a task holds before it passes
+#: them on, at least so many a part. Contexts whose windows are hashed at once.
+PIECE, HOLD, HOLD_A_PART, CONTEXTS = 1 << 17, 1 << 18, 32, 2048
+#: Bits of the bitmap of repeated triggers; documents of a bucket in the steps that need texts; parts of the hash's range.
+LEAST_BITS, MOST_BITS, BUCKET_DOCS, MOST_PARTS = 16, 28, 1024, 1 << 16
+#: Spans that a task collects before it passes them on, one blob a bucket.
+HELD_SPANS = 1 << 17
+#: A trigger is hot if it is so often met and makes this share of its part.
+HOT, HOT_SHARE = 4096, 16
 
 _R = 0x9E3779B97F4A7C15
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[str, np.ndarray] = {}
 
-#: Bits of the second hash of a phrase or window, beside its trigger's 64.
-SECOND = np.uint64((1 << 48) - 1)
 #: Bits of a tag, which Spark holds as a signed number.
 ALL = (1 << 64) - 1
 ENTRY = np.dtype([("t", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("at", "<u4"), ("cover", "u1"), ("anchor", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("at", "<u4"), ("cover", "<u4"), ("anchor", "u1")])
 WINDOWS = np.dtype([("t", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("at", "<u4")])
+HEAVY = np.dtype([("t", "<u8"), ("n", "<u8")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +208,12 @@ def grouped(batches):
 
 
 def spans_out(spans: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    return [(b, kind, packed(x)) for b, x in split_by(spans["doc"] % buckets, spans)]
+    return [(b, kind, packed(x)) for b, x in split_by((spans["doc"] ^ spans["tag"].view(np.int64)) % buckets, spans)]
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range that a hash lies in."""
+    return (hashes >> np.uint64(65 - parts.bit_length())).astype(np.int32)
 
 
 def joined_spans(spans: np.ndarray) -> np.ndarray:
@@ -245,31 +258,67 @@ def as_spans(x: np.ndarray, cover=None) -> np.ndarray:
     return out
 
 
-def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> np.ndarray:
-    """The bitmap of triggers that occur twice; a part is a range of hashes and makes its own slice."""
-    shift = parts.bit_length() - 1
+class Collected:
+    """Spans that a task has found, by kind: passed on together, so that there are few blobs."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.spans, self.n = buckets, {COVERED: [], LOOK: []}, 0
+
+    def add(self, kind: int, spans: np.ndarray):
+        """Rows to pass on, if there are enough spans now."""
+        if len(spans):
+            self.spans[kind].append(spans)
+            self.n += len(spans)
+        if self.n >= HELD_SPANS:
+            yield from self.rest()
+
+    def rest(self):
+        for kind, held in self.spans.items():
+            if held:
+                x = np.concatenate(held)
+                yield from _rows(spans_out(joined_spans(x) if kind == COVERED else x, kind, self.buckets))
+        self.spans, self.n = {COVERED: [], LOOK: []}, 0
+
+
+def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of triggers that occur twice, and the hot triggers; a part is a range of hashes and makes its own slice."""
+    shift, hold = parts.bit_length() - 1, max(2 * HOLD, HOLD_A_PART * parts)
 
     def send(batches):
         held, n = [], 0
 
         def out():
             u, c = np.unique(np.concatenate(held), return_counts=True)
+            often = np.flatnonzero(c >= max(16, n >> 10))
+            heavy = np.zeros(len(often), HEAVY)
+            heavy["t"], heavy["n"] = u[often], c[often]
+            yield from _rows([(p, 1, x.tobytes()) for p, x in split_by(part_of(heavy["t"], parts), heavy)])
             u = np.concatenate([u, u[c > 1]])
-            yield from _rows([(p, 0, x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()) for p, x in split_by((u >> np.uint64(64 - shift)).astype(np.int32), u.astype("<u8"))])
+            yield from _rows([(p, 0, x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()) for p, x in split_by(part_of(u, parts), u.astype("<u8"))])
 
         for _, _, _, pieces in pieces_of(batches):
             held.append(phrases(pieces)["t"])
             n += len(held[-1])
-            if n >= HOLD:
+            if n >= hold:
                 yield from out()
                 held, n = [], 0
         if n:
             yield from out()
 
     def meet(batches):
-        for part, _, blobs in grouped(batches):
+        size = 0
+        for part, kind, blobs in grouped(batches):
+            if kind == 1:
+                x = np.sort(np.frombuffer(b"".join(blobs), HEAVY), order="t")
+                new = np.flatnonzero(np.append(True, x["t"][1:] != x["t"][:-1]))
+                n = np.add.reduceat(x["n"], new)
+                hot = x["t"][new][n >= max(HOT, size // HOT_SHARE)]
+                if len(hot):
+                    yield _batch([(part, 1, hot.tobytes())])
+                continue
             six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-            t = np.zeros((len(six), 8), np.uint8)
+            size = len(six)
+            t = np.zeros((size, 8), np.uint8)
             t[:, 2:] = six
             t = np.sort(t.view("<u8").ravel())
             twice = t[1:][t[1:] == t[:-1]]
@@ -278,29 +327,41 @@ def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> np.ndarray:
             slice_[slots.astype(np.int64)] = 1
             yield _batch([(part, 0, np.packbits(slice_, bitorder="little").tobytes())])
 
-    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part")
-    whole = np.zeros(1 << (bits - 3), np.uint8)
+    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "kind")
+    whole, hot = np.zeros(1 << (bits - 3), np.uint8), [np.zeros(0, "<u8")]
     width = len(whole) // parts
-    for r in sent.mapInArrow(trimmed(meet), BLOBS).toLocalIterator():
-        whole[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["blob"], np.uint8)
-    return whole
+    # the slices of the bitmap, and at most HOT_SHARE hot triggers a part
+    for b in sent.mapInArrow(trimmed(meet), BLOBS).toArrow().to_batches():
+        for part, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind:
+                hot.append(np.frombuffer(blob, "<u8"))
+            else:
+                whole[part * width : (part + 1) * width] = np.frombuffer(blob, np.uint8)
+    return whole, np.sort(np.concatenate(hot))
+
+
+def listed(hot: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which triggers are hot."""
+    if not len(hot):
+        return np.zeros(len(t), bool)
+    return hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t
 
 
-def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buckets: int) -> DataFrame:
-    """Blobs by bucket: COVERED spans, and phrases whose windows need a LOOK."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    shift = parts.bit_length() - 1
+def find_phrases(rows: DataFrame, shared, bits: int, parts: int, buckets: int) -> DataFrame:
+    """Blobs by bucket: COVERED spans, and phrases whose windows need a LOOK. shared: the broadcast bitmap and hot triggers."""
+    hold = max(HOLD // 2, HOLD_A_PART * parts // 4)
 
     def send(batches):
-        seen, held, n = shared.value, [], 0
+        (seen, hot), held, n, spans = shared.value, [], 0, Collected(buckets)
 
         def out():
             x = np.concatenate(held)
             order, _, lost = beaten([x["t"], x["e"]], x["doc"])
             x = x[order]
-            yield from _rows(spans_out(joined_spans(as_spans(x[lost])), COVERED, buckets))
+            yield from spans.add(COVERED, joined_spans(as_spans(x[lost])))
             x = x[~lost]
-            yield from _rows([(p, ASK, packed(y)) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)])
+            part = np.where(listed(hot, x["t"]), part_of(mix64(x["e"].copy()), parts), part_of(x["t"], parts))
+            yield from _rows([(p, ASK, packed(y)) for p, y in split_by(part, x)])
 
         for docs, tags, bases, pieces in pieces_of(batches):
             got = phrases(pieces)
@@ -309,18 +370,19 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             x = np.zeros(len(hit), ENTRY)
             piece = got["piece"][hit]
             x["doc"], x["tag"], x["at"] = docs[piece], tags[piece], got["at"][hit] + bases[piece]
-            for k in ("t", "cover", "anchor"):
+            for k in ("t", "e", "cover", "anchor"):
                 x[k] = got[k][hit]
-            x["e"] = got["e"][hit] & SECOND
             held.append(x)
             n += len(x)
-            if n >= HOLD // 2:
+            if n >= hold:
                 yield from out()
                 held, n = [], 0
         if n:
             yield from out()
+        yield from spans.rest()
 
     def meet(batches):
+        hot, spans = shared.value[1], Collected(buckets)
         for part, kind, blobs in grouped(batches):
             if kind != ASK:
                 yield from _rows([(part, kind, b) for b in blobs])
@@ -328,89 +390,137 @@ def find_phrases(rows: DataFrame, bitmap: np.ndarray, bits: int, parts: int, buc
             x = np.frombuffer(unpacked(blobs), ENTRY)
             order, new, lost = beaten([x["t"], x["e"]], x["doc"])
             x = x[order]
-            yield from _rows(spans_out(as_spans(x[lost]), COVERED, buckets))
-            # triggers with several phrases
+            yield from spans.add(COVERED, as_spans(x[lost]))
+            # triggers with several phrases; those of a hot one lie in several parts
             start_t = np.append(True, x["t"][1:] != x["t"][:-1])
             several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(start_t)) > 1
-            look = ~lost & several[np.cumsum(start_t) - 1]
-            yield from _rows(spans_out(as_spans(x[look]), LOOK, buckets))
-            trim()
+            look = ~lost & (several[np.cumsum(start_t) - 1] | listed(hot, x["t"]))
+            yield from spans.add(LOOK, as_spans(x[look]))
+        yield from spans.rest()
 
     sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(2 * partitions(rows.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
     return sent.mapInArrow(trimmed(meet), BLOBS)
 
 
-def find_windows(texts: DataFrame, looked: DataFrame, parts: int, buckets: int) -> DataFrame:
-    """Blobs by bucket: COVERED spans of windows that a smaller document holds."""
-    shift = parts.bit_length() - 1
-
-    def send(key, docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        none = pa.Table.from_batches([], _batch([(0, 0, b"")]).schema)
-        if not blobs.num_rows or not docs.num_rows:
-            return none
-        look = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
-        raw = {(d, t & ALL): n for n, (d, t) in enumerate(zip(docs.column("__doc").to_pylist(), docs.column("__tag").to_pylist(), strict=True)) if d is not None}
-        data = docs.column("__data")
-        contexts, last, text = [], None, b""
-        look = look[np.lexsort((look["at"], look["tag"], look["doc"]))]
-        for d, t, at, cover in zip(*(look[k].tolist() for k in ("doc", "tag", "at", "cover")), strict=True):
-            if last != (d, t):
-                last, text = (d, t), data[raw[d, t]].as_py()
-            contexts.append(text[at : at + cover])
-        items = []
-        for a in range(0, len(contexts), 4096):
-            part = contexts[a : a + 4096]
-            sizes = np.array([len(c) for c in part], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            hashes = Hashed(np.frombuffer(b"".join(part), np.uint8))
-            n = sizes - WINDOW + 1
-            which = np.repeat(np.arange(len(part)), n)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            x = np.zeros(len(which), WINDOWS)
-            here = look[a : a + 4096]
-            x["w"] = hashes.of(starts[which] + offset, WINDOW) & SECOND
-            x["t"] = hashes.of(starts + here["anchor"], TRIGGER)[which]
-            x["doc"], x["tag"], x["at"] = here["doc"][which], here["tag"][which], here["at"][which] + offset
-            items.append(x)
-        x = np.concatenate(items)
-        order, _, lost = beaten([x["t"], x["w"]], x["doc"])
-        x = x[order]
-        out = spans_out(joined_spans(as_spans(x[lost], WINDOW)), COVERED, buckets)
-        x = x[~lost]
-        out += [(p, ASK, packed(y)) for p, y in split_by((x["t"] >> np.uint64(64 - shift)).astype(np.int32), x)]
-        trim()
-        return pa.Table.from_batches([_batch(out)]) if out else none
+def with_spans(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+    """One stream of both by bucket, in each the blobs before the texts."""
+    left = texts.withColumns({"__kind": F.lit(1), "__blob": F.lit(None).cast("binary")}).select("__bucket", "__kind", "__blob", *[F.col(f"`{c}`") for c in texts.columns if c != "__bucket"])
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields[3:]]
+    right = blobs.select(F.col("part").alias("__bucket"), F.lit(0).alias("__kind"), F.col("blob").alias("__blob"), *nulls)
+    return left.union(right).repartition(partitions(texts.sparkSession), "__bucket").sortWithinPartitions("__bucket", "__kind")
+
+
+class Spans:
+    """Spans of the documents of a bucket."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        x = np.frombuffer(unpacked(blobs), SPAN)
+        self.spans = x = x[np.lexsort((x["at"], x["tag"], x["doc"]))]
+        new = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1]))) if len(x) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(x))
+        self.where = {(d, t): (a, z) for d, t, a, z in zip(x["doc"][new].tolist(), x["tag"][new].tolist(), new.tolist(), ends.tolist(), strict=False)}
+
+    def of(self, doc: int | None, tag: int) -> np.ndarray:
+        a, z = self.where.get((doc, tag & ALL), (0, 0))
+        return self.spans[a:z]
+
+
+def met(batches):
+    """(rows, Spans) of a stream of with_spans(): texts of one bucket at a time."""
+    at, blobs, spans = None, [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        where = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+        starts = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(1))).tolist()
+        for a, z in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            if where[a][0] != at:
+                at, blobs, spans = where[a][0], [], None
+            if where[a][1] == 0:
+                blobs += b.column(2).slice(a, z - a).to_pylist()
+                continue
+            if spans is None:
+                spans, blobs = Spans(blobs), []
+            yield b.slice(a, z - a), spans
+
+
+def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: int, buckets: int) -> DataFrame:
+    """Blobs by bucket: COVERED spans of windows that a smaller document holds. hot: the hot triggers."""
+
+    def windows(look: np.ndarray, contexts: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(c) for c in contexts], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        hashes = Hashed(np.frombuffer(b"".join(contexts), np.uint8))
+        n = sizes - WINDOW + 1
+        which = np.repeat(np.arange(len(contexts)), n)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        x = np.zeros(len(which), WINDOWS)
+        x["w"] = hashes.of(starts[which] + offset, WINDOW)
+        x["t"] = hashes.of(starts + look["anchor"], TRIGGER)[which]
+        x["doc"], x["tag"], x["at"] = look["doc"][which], look["tag"][which], look["at"][which] + offset
+        return x
+
+    def send(batches):
+        held, n, look, contexts, covered = [], 0, [], [], Collected(buckets)
+
+        def out():
+            x = np.concatenate(held)
+            order, _, lost = beaten([x["t"], x["w"]], x["doc"])
+            x = x[order]
+            yield from covered.add(COVERED, joined_spans(as_spans(x[lost], WINDOW)))
+            x = x[~lost]
+            part = np.where(listed(hot, x["t"]), part_of(x["w"], parts), part_of(x["t"], parts))
+            yield from _rows([(p, ASK, packed(y)) for p, y in split_by(part, x)])
+
+        for rows, spans in met(batches):
+            for d, t, raw in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5), strict=True):
+                wanted = spans.of(d, t) if d is not None else ()
+                if not len(wanted):
+                    continue
+                text = raw.as_py()
+                for s in range(0, len(wanted), CONTEXTS):
+                    here = wanted[s : s + CONTEXTS]
+                    look.append(here)
+                    contexts += [text[a : a + c] for a, c in zip(here["at"].tolist(), here["cover"].tolist(), strict=True)]
+                    if len(contexts) >= CONTEXTS:
+                        held.append(windows(np.concatenate(look), contexts))
+                        n += len(held[-1])
+                        look, contexts = [], []
+                    if n >= HOLD // 2:
+                        yield from out()
+                        held, n = [], 0
+        if contexts:
+            held.append(windows(np.concatenate(look), contexts))
+        if held:
+            yield from out()
+        yield from covered.rest()
 
     def meet(batches):
+        covered = Collected(buckets)
         for part, kind, blobs in grouped(batches):
             if kind != ASK:
                 yield from _rows([(part, kind, b) for b in blobs])
                 continue
             x = np.frombuffer(unpacked(blobs), WINDOWS)
             order, _, lost = beaten([x["t"], x["w"]], x["doc"])
-            yield from _rows(spans_out(joined_spans(as_spans(x[order][lost], WINDOW)), COVERED, buckets))
-            trim()
+            yield from covered.add(COVERED, joined_spans(as_spans(x[order][lost], WINDOW)))
+        yield from covered.rest()
 
-    sent = texts.groupBy("__bucket").cogroup(looked.groupBy("part")).applyInArrow(send, BLOBS)
+    sent = with_spans(texts.select("__bucket", "__doc", "__tag", "__data"), looked).mapInArrow(trimmed(send), BLOBS)
     dealt = sent.repartition(2 * partitions(texts.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(trimmed(meet), BLOBS)
 
 
-def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of the bytes, and the maximal removed runs."""
+def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """What is left of the bytes, and starts and ends of the maximal removed runs. spans: by start."""
     if not len(spans):
-        return data, []
-    order = np.argsort(spans["at"], kind="stable")
-    at = spans["at"][order].astype(np.int64)
-    end = np.maximum.accumulate(at + spans["cover"][order])
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = spans["at"].astype(np.int64)
+    end = np.maximum.accumulate(at + spans["cover"])
     new = np.flatnonzero(np.append(True, at[1:] > end[:-1]))
-    runs = list(zip(at[new].tolist(), end[np.append(new[1:], len(at)) - 1].tolist(), strict=True))
-    left, done = [], 0
-    for a, z in runs:
-        left.append(data[done:a])
-        done = z
-    left.append(data[done:])
-    return b"".join(left), runs
+    start, end = at[new], end[np.append(new[1:], len(at)) - 1]
+    left = b"".join([data[a:z] for a, z in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)])
+    return left, start, end
 
 
 def _prime(n: int) -> int:
@@ -440,41 +550,42 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     spark = tune(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "kept", "spans")]
     n = docs.count()
-    parts = 1 << max(4, min(14, (partitions(spark) * 8 - 1).bit_length()))
+    parts = 1 << max(4, min(MOST_PARTS.bit_length() - 1, (partitions(spark) * 8 - 1).bit_length()))
     bits = max(LEAST_BITS, parts.bit_length() + 3, min(MOST_BITS, n.bit_length() + 9))
     buckets = _prime(n // BUCKET_DOCS)
-    data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     doc = F.col(f"`{key}`").cast("long")
     tagged = with_tags(docs.select(*[F.col(f"`{c}`") for c in keep], doc.alias("__doc"), data.alias("__data")))
     rows = tagged.select("__doc", "__tag", "__data")
-    bitmap = repeated_triggers(rows, bits, parts)
+    bitmap, hot = repeated_triggers(rows, bits, parts)
+    shared = spark.sparkContext.broadcast((bitmap, hot))
     freed(spark)
-    found = written(find_phrases(rows, bitmap, bits, parts, buckets))
+    found = written(find_phrases(rows, shared, bits, parts, buckets))
+    shared.unpersist()
     freed(spark)
-    texts = tagged.select(*[F.col(f"`{c}`") for c in keep], "__doc", "__tag", "__data", F.coalesce(F.pmod("__doc", F.lit(buckets)), F.lit(0)).cast("int").alias("__bucket"))
+    # rows without a key have no spans: they go anywhere
+    bucket = F.pmod(F.coalesce(F.col("__doc").bitwiseXOR(F.col("__tag")), F.xxhash64("__data")), F.lit(buckets)).cast("int")
+    texts = tagged.select(bucket.alias("__bucket"), "__doc", "__tag", "__data", *[F.col(f"`{c}`") for c in keep])
     few = 1 << max(3, (partitions(spark) * 4 - 1).bit_length())  # a bucket sends a blob a part
-    more = find_windows(texts, found.filter(F.col("kind") == LOOK), few, buckets)
+    more = written(find_windows(texts, found.filter(F.col("kind") == LOOK), hot, few, buckets))
+    freed(spark)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
-    schema = texts.select(*keep).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())
-    arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def finish(key_, table_: pa.Table, blobs: pa.Table) -> pa.Table:
-        spans = np.frombuffer(unpacked(blobs.column("blob").to_pylist()), SPAN)
-        spans = spans[np.lexsort((spans["at"], spans["tag"], spans["doc"]))]
-        of = {}
-        if len(spans):
-            new = np.flatnonzero(np.append(True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1])))
-            of = {(int(spans["doc"][a]), int(spans["tag"][a])): spans[a:z] for a, z in zip(new, [*new[1:], len(spans)], strict=True)}
-        kept, runs = [], []
-        for d, t, raw in zip(table_.column("__doc").to_pylist(), table_.column("__tag").to_pylist(), table_.column("__data"), strict=True):
-            left, cuts = cut(raw.as_py(), of.get((d, t & ALL), spans[:0]))
-            kept.append(left.decode("utf-8", "ignore") if as_text else left)
-            runs.append([{"start": a, "end": z} for a, z in cuts])
-        out = table_.select(keep)
-        trim()
-        return out.append_column("kept", pa.array(kept, pa.string() if as_text else pa.binary())).append_column("spans", pa.array(runs, arrow_spans))
-
-    return texts.groupBy("__bucket").cogroup(covered.groupBy("part")).applyInArrow(finish, schema)
+    schema = texts.select(*[F.col(f"`{c}`") for c in keep]).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())
+    kind = pa.string() if as_text else pa.binary()
+
+    def finish(batches):
+        for rows, spans in met(batches):
+            kept, starts, ends = [], [], []
+            for d, t, raw in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5), strict=True):
+                left, a, z = cut(raw.as_py(), spans.of(d, t))
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                starts.append(a)
+                ends.append(z)
+            offsets = np.concatenate([[0], np.cumsum([len(a) for a in starts])])
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (starts, ends)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[6:], pa.array(kept, kind), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], [*keep, "kept", "spans"])
+
+    return with_spans(texts, covered).mapInArrow(trimmed(finish), schema)
 
 
 def _span_type():
