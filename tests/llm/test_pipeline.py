@@ -21,4 +21,5 @@ def test_empty_and_odd_rows(spark, tmp_path):
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, "").write.parquet(str(tmp_path / name / str(n)))
             docs = spark.read.parquet(str(tmp_path / name / str(n)))
-        assert docs.count() == (2 if name == "odd" else 0) or name == "odd"
+        # null and empty texts go; two equal rows are one class, of which one stays, taken up to twice
+        assert docs.count() in (1, 2) if name == "odd" else docs.count() == 0
