@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and, but for the last, returns
 the columns of documents. Null and empty texts have no language, so the first stage drops them. An empty table goes
-through all stages.
+through all stages. Rows that share a doc_id, or have none, are known by their texts too; equal rows are one class of
+near duplicates. Columns other than those of documents are dropped.
 """
 
 from __future__ import annotations

@@ -150,7 +150,7 @@ def softmax(x: Column) -> Column:
 
 
 def _sums(width: int):
-    return F.array(*[F.sum(F.element_at("soft", n + 1)) for n in range(width)])
+    return F.array(*[F.sum(F.element_at("__soft", n + 1)) for n in range(width)])
 
 
 def _smoothed(sums: Column, n: Column, wider: Column) -> Column:
@@ -158,10 +158,13 @@ def _smoothed(sums: Column, n: Column, wider: Column) -> Column:
 
 
 def fuse(scored: DataFrame, languages: list[str], declared: str | None, places: list[str]) -> DataFrame:
-    """scored (with evidence) plus text_lang, lang, confidence, rejected. places: columns, the narrowest first."""
+    """scored (with evidence) plus text_lang, lang_found, confidence, rejected, which replace columns of these names.
+
+    places: columns, the narrowest first.
+    """
     width = len(languages)
     names = F.array(*[F.lit(k) for k in languages])
-    base = written(scored.withColumn("soft", softmax(F.col("evidence"))))
+    base = written(scored.withColumn("__soft", softmax(F.col("evidence"))))
     flat = F.array(*[F.lit(1.0 / width)] * width)
     overall = F.broadcast(base.agg(_sums(width).alias("s"), F.count("*").alias("n")).select(F.when(F.col("n") > 0, _smoothed(F.col("s"), F.col("n"), flat)).otherwise(flat).alias("__overall")))
     out = base
@@ -181,7 +184,7 @@ def fuse(scored: DataFrame, languages: list[str], declared: str | None, places:
         level = level.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("s0").alias("__s"), F.col("n0").alias("__n"), prior.alias("__wider"))
         out = out.join(level, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
         # without the row's own part
-        others = F.zip_with("__s", "soft", lambda s, own: F.greatest(s - own, F.lit(0.0)))
+        others = F.zip_with("__s", "__soft", lambda s, own: F.greatest(s - own, F.lit(0.0)))
         out = out.withColumn("__prior", F.when(F.col(keys[0]).isNull(), F.col("__wider")).otherwise(_smoothed(others, F.col("__n") - 1, F.col("__wider"))))
         out = out.drop(*keys, *[f"{k}_" for k in keys], "__s", "__n", "__wider")
     else:
@@ -205,7 +208,7 @@ def fuse(scored: DataFrame, languages: list[str], declared: str | None, places:
         "confidence": F.when(letters, F.array_max("__post")).otherwise(1.0),
     })
     out = out.withColumn("rejected", (F.col("lang_found") == "und") | (F.col("confidence") < LEAST))
-    return out.drop("__prior", "__tag", "__t", "__said", "__post", "soft")
+    return out.drop("__prior", "__tag", "__t", "__said", "__post", "__soft")
 
 
 def _sum_of(column: str, width: int) -> Column:

@@ -35,6 +35,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 FAR, STRAY = 0.25, 0.01
 #: Nodes of a block: at least so many; a component has so many blocks until they have reached the most.
 BLOCK, BLOCKS, MOST_BLOCK = 128, 16, 2048
+#: N-grams of a block's nodes, about, at most: a node of more is a block with few others.
+BLOCK_GRAMS = 1 << 20
 CACHE_WORDS = 150_000
 
 
@@ -95,21 +97,22 @@ def _factors(n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(key, tag, node, bands): tag is the text's hash, node null for texts without words."""
+    """(key, tag, node, grams, bands): tag is the text's hash, grams the size of its set, node null for texts without words."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
 
     def run(batches):
         factors = _factors(bands * rows)
         for b in batches:
-            nodes, signs = [], []
+            nodes, signs, sizes = [], [], []
             for raw in b.column(2):
                 sh = shingles(raw.as_py())
                 nodes.append(node_of(sh) if len(sh) else None)
                 signs.append(signature(sh, factors, rows).tobytes() if len(sh) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["key", "tag", "node", "bands"])
+                sizes.append(len(sh))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], ["key", "tag", "node", "grams", "bands"])
         _WORDS.clear()
 
-    return plain.mapInArrow(trimmed(run), "key long, tag long, node long, bands binary")
+    return plain.mapInArrow(trimmed(run), "key long, tag long, node long, grams long, bands binary")
 
 
 PAIR = np.dtype([("h", "<u8"), ("node", "<i8")])
@@ -277,11 +280,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sketched = written(sketches(docs, key, text, bands, rows))
     comp = components(meetings(sketched, bands, parts))
     # one row of each node that may link, and how many rows share its set
-    nodes = written(sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("least"), F.count("*").alias("rows")))
-    members = written(comp.join(nodes, "node").select("label", "node", "least", "rows"))
-    sizes = members.groupBy("label").agg(F.count("*").alias("n"))
+    nodes = written(sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("least"), F.count("*").alias("rows"), F.max("grams").alias("grams")))
+    members = written(comp.join(nodes, "node").select("label", "node", "least", "rows", "grams"))
+    sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"))
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)))
-    sizes = written(sizes.select("label", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)))
+    sizes = written(sizes.select("label", blocks.cast("int").alias("blocks")))
     wanted = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
     found = texts.join(wanted, F.col("key").eqNullSafe(F.col("least.key")) & (F.col("tag") == F.col("least.tag"))).select("label", "node", "rows", "blocks", "block", "raw")

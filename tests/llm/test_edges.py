@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,29 @@ def test_bpe(spark):
         assert decoder.decode(coder.encode(text)).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_all_letters():
+    """Every code point below U+20000, alone and inside a word."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    coder, decoder, lib = bpe.Coder(bpe.Spec.read(path)), bpe.Decoder(bpe.Spec.read(path)), Tokenizer.from_file(path)
+    texts = ["".join(f"{chr(c)} x{chr(c)}y" for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 256)]
+    for text, found in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = coder.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == found.ids, hex(ord(text[0])) if text else ""
+        assert decoder.decode(ids).decode() == lib.decode(found.ids, skip_special_tokens=False)
+
+
+def test_decoding_in_steps(monkeypatch):
+    monkeypatch.setattr(bpe, "GATHER", 3)
+    decoder = bpe.Decoder(bpe.Spec(["a", "", "ccc", "é"], [], {}, "</w>", ""))
+    rows = [[0, 1, 2], [], [3], [], [2, 2, 2, 0, 3, 3], []]
+    ids = pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    for part in (ids, ids.slice(1), ids.slice(2, 3), ids.slice(0, 0)):
+        want = [" ".join(["a", "", "ccc", "é"][n] for n in np.frombuffer(x, "<u4")) for x in part.to_pylist()]
+        assert bpe._decoded(decoder, part).to_pylist() == want
+
+
 def classes_by_force(rows):
     sets = []
     for _, t in rows:
@@ -125,8 +149,10 @@ def test_neardup(spark):
     assert neardup.classes(empty(spark)).count() == 0
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize("block, grams", [(4, 1 << 20), (128, 200)])
+def test_blocks_lose_no_link(spark, monkeypatch, block, grams):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", grams)
     base = [f"w{n}" for n in range(80)]
     rows = [(n, " ".join([*base, f"tail{n}"])) for n in range(40)]
     got = neardup.classes(docs(spark, rows)).collect()
