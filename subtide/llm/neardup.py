@@ -6,7 +6,10 @@ far pair may meet. Nodes that meet in a band are joined by a tree (each task joi
 task goes on), so a band value that a third of all rows share costs a row a task, and no pairs are listed. The
 trees' connected components gather all pairs that meet in any band; a component's nodes are verified in blocks of
 pairs of blocks: every pair of the component is decided on the full sets, links are counted, and only counts and a
-forest of verified links leave the task. Classes are the components of verified links.
+forest of verified links leave the task. A component of more blocks than there are bands, where stray meetings may
+have chained what is not alike, is verified by band value instead: the nodes that share one come together, in blocks
+if there are many, and a pair is decided in the first band in which it meets. Classes are the components of verified
+links.
 
 Null and empty texts, and texts of white space only, have no n-grams: they link to nothing, each is its own class.
 Rows with equal sets link to one another. Repeated rows are rows. An empty table gives an empty result.
@@ -37,6 +40,8 @@ FAR, STRAY = 0.25, 0.01
 BLOCK, BLOCKS, MOST_BLOCK = 128, 16, 2048
 #: N-grams of a block's nodes, about, at most: a node of more is a block with few others.
 BLOCK_GRAMS = 1 << 20
+#: A component of more blocks is verified by band values; None: as many as there are bands.
+MOST_BLOCKS: int | None = None
 CACHE_WORDS = 150_000
 
 
@@ -225,8 +230,19 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def first_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which each pair of signatures agrees; their number if none."""
+    out = np.full((len(a), len(b)), a.shape[1], np.int16)
+    for k in range(a.shape[1] - 1, -1, -1):
+        out[a[:, k, None] == b[None, :, k]] = k
+    return out
+
+
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, root, links) of each node and pair of blocks: verified links, weighted by rows, and a forest of them."""
+    """(node, root, links) of each node and pair of blocks: verified links, weighted by rows, and a forest of them.
+
+    sets: comp, band, lo, hi, block, node, rows, sh, bands; of pairs with a band only those that meet there first count.
+    """
     ratio = Fraction(str(threshold))
     num, den = ratio.numerator, ratio.denominator
 
@@ -242,6 +258,9 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         shared = common(sh, split)
         left, right = (sizes, sizes) if split is None else (sizes[:split], sizes[split:])
         near = shared * den >= num * (left[:, None] + right[None, :] - shared)
+        if rows[0]["band"] >= 0:
+            signs = np.stack([np.frombuffer(r["bands"], "<u8") for r in rows])
+            near &= first_met(signs if split is None else signs[:split], signs if split is None else signs[split:]) == rows[0]["band"]
         if split is None:
             np.fill_diagonal(near, False)
             links, full = near @ weight, near
@@ -258,15 +277,59 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         at, held = None, []
         for b in batches:
             for r in b.to_pylist():
-                if at != (r["comp"], r["lo"], r["hi"]):
+                if at != (r["comp"], r["band"], r["lo"], r["hi"]):
                     if held and (got := decide(held)) is not None:
                         yield got
-                    at, held = (r["comp"], r["lo"], r["hi"]), []
+                    at, held = (r["comp"], r["band"], r["lo"], r["hi"]), []
                 held.append(r)
         if held and (got := decide(held)) is not None:
             yield got
 
-    return sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(trimmed(run), "node long, root long, links long")
+    return sets.repartition("comp", "band", "lo", "hi").sortWithinPartitions("comp", "band", "lo", "hi").mapInArrow(trimmed(run), "node long, root long, links long")
+
+
+def with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """wanted (with node and least, the row that has its text) with sh, the node's full set, in place of least."""
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
+    keep = [c for c in wanted.columns if c not in ("node", "least")]
+    found = texts.join(wanted, F.col("key").eqNullSafe(F.col("least.key")) & (F.col("tag") == F.col("least.tag"))).select("raw", "node", *keep)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw, node in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                sh = shingles(raw.as_py())
+                # another row may have the key and a text of that hash; its set is another
+                out.append(sh.astype("<u8").tobytes() if node_of(sh) == node else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], ["node", *keep, "sh"])
+        _WORDS.clear()
+
+    return found.mapInArrow(trimmed(run), found.drop("raw").schema.add("sh", "binary")).filter(F.col("sh").isNotNull())
+
+
+def blocks_of(n, grams, most: int | None = None):
+    """How many blocks so many nodes with so many n-grams are dealt into."""
+    block = F.lit(MOST_BLOCK) if most else F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(n / BLOCKS)))
+    return F.least(n, F.greatest(F.ceil(n / block), F.ceil(grams / BLOCK_GRAMS))).cast("int")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """What verified() takes: each node (comp, band, blocks, node, rows, sh, bands) once for every block of its group."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("comp", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "rows", "sh", "bands")
+
+
+def by_band(docs: DataFrame, key: str, text: str, members: DataFrame, sketched: DataFrame, bands: int) -> DataFrame:
+    """dealt() rows of members (node, least, rows, grams) by the band values that several of them share."""
+    signs = sketched.select("node", "bands").join(members.select("node"), "node").groupBy("node").agg(F.min("bands").alias("bands"))
+    known = written(with_sets(docs, key, text, members.select("node", "least", "rows", "grams")).join(signs, "node"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.substring(F.col("bands"), k * 8 + 1, F.lit(8)))
+    met = written(known.select("node", "grams", F.posexplode(values).alias("band", "value")).withColumn("comp", F.xxhash64("band", "value")))
+    groups = met.groupBy("comp", "band").agg(F.count("*").alias("n"), F.sum("grams").alias("g")).filter("n > 1")
+    groups = groups.select("comp", "band", blocks_of(F.col("n"), F.col("g"), MOST_BLOCK).alias("blocks"))
+    placed = met.select("node", "comp", "band").join(groups, ["comp", "band"])
+    return dealt(placed.join(known, "node"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, tagged: bool = False) -> DataFrame:
@@ -283,26 +346,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     nodes = written(sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("least"), F.count("*").alias("rows"), F.max("grams").alias("grams")))
     members = written(comp.join(nodes, "node").select("label", "node", "least", "rows", "grams"))
     sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"))
-    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)))
-    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)))
-    sizes = written(sizes.select("label", blocks.cast("int").alias("blocks")))
-    wanted = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
-    found = texts.join(wanted, F.col("key").eqNullSafe(F.col("least.key")) & (F.col("tag") == F.col("least.tag"))).select("label", "node", "rows", "blocks", "block", "raw")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for raw, node in zip(b.column(5), b.column(1).to_pylist(), strict=True):
-                sh = shingles(raw.as_py())
-                # another row may have the key and a text of that hash; its set is another
-                out.append(sh.astype("<u8").tobytes() if node_of(sh) == node else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.binary())], ["label", "node", "rows", "blocks", "block", "sh"])
-        _WORDS.clear()
-
-    sets = found.mapInArrow(trimmed(run), "label long, node long, rows long, blocks int, block int, sh binary").filter(F.col("sh").isNotNull())
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = sets.withColumn("other", other).select(F.col("label").alias("comp"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "rows", "sh")
+    sizes = written(sizes.select("label", blocks_of(F.col("n"), F.col("grams")).alias("blocks")))
+    placed, most = members.join(sizes, "label"), bands if MOST_BLOCKS is None else MOST_BLOCKS
+    whole = with_sets(docs, key, text, placed.filter(F.col("blocks") <= most).select("node", "least", "label", "rows", "blocks"))
+    sets = dealt(whole.select(F.col("label").alias("comp"), F.lit(-1).alias("band"), "blocks", "node", "rows", "sh", F.lit(None).cast("binary").alias("bands")))
+    if sizes.filter(F.col("blocks") > most).limit(1).count():
+        sets = sets.unionByName(by_band(docs, key, text, placed.filter(F.col("blocks") > most), sketched, bands))
     links = written(verified(sets, threshold))
     linked = components(links.filter(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b")))
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -128,7 +128,10 @@ def classes_by_force(rows):
     return [sum(map(bool, r)) for r in near]
 
 
-def test_neardup(spark):
+@pytest.mark.parametrize("most", [None, 0])
+def test_neardup(spark, monkeypatch, most):
+    """most = 0: all components are verified by band values."""
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", most)
     rng = random.Random(4)
     rows = []
     for group in range(12):
@@ -149,10 +152,12 @@ def test_neardup(spark):
     assert neardup.classes(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block, grams", [(4, 1 << 20), (128, 200)])
-def test_blocks_lose_no_link(spark, monkeypatch, block, grams):
+@pytest.mark.parametrize("block, grams, most", [(4, 1 << 20, None), (128, 200, None), (128, 1 << 20, 0), (4, 300, 0)])
+def test_blocks_lose_no_link(spark, monkeypatch, block, grams, most):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "MOST_BLOCK", min(block, neardup.MOST_BLOCK))
     monkeypatch.setattr(neardup, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", most)
     base = [f"w{n}" for n in range(80)]
     rows = [(n, " ".join([*base, f"tail{n}"])) for n in range(40)]
     got = neardup.classes(docs(spark, rows)).collect()
