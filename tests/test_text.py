@@ -31,6 +31,7 @@ def test_flatten_native_equals_kernel(spark):
         assert r["z"] == K.chinese_marks(K.flatten(r["t"])), repr(r["t"])
 
 
+# Texts and their cleanings.
 def test_documented_cleanings(spark):
     assert cleaned(spark, "背得滚瓜烂薯，PatternDrill") == "背得滚瓜烂熟，Pattern Drill"
     assert cleaned(spark, "whatImeanis 遇到完全没看过的生殖怎么办") == "what I mean is 遇到完全没看过的生词怎么办"
@@ -74,6 +75,7 @@ def test_clean_documents_keeps_times_or_the_raw_text(spark):
     assert rows[3]["clean_srt"] is None and rows[3]["changes"][0]["type"] == "validation_fallback"
 
 
+# Messages.
 def test_quality_messages(spark):
     cues = spark.createDataFrame([(1, 0, 1, 5.0, 6.0, "a"), (1, 1, 2, 3.0, 4.0, "換氣\n、"), (2, 0, 1, 0.0, 3.0, "procrastin\nate"), (3, 0, 1, 0.0, 2.0, None)], "doc_id long, pos long, idx int, start_s double, end_s double, text string")
     got = [(r["doc_id"], r["issue"]) for r in quality.issues(cues).orderBy("doc_id", "pos", "ord").collect()]
@@ -83,6 +85,7 @@ def test_quality_messages(spark):
     ]
 
 
+# Texts to wrap.
 def test_wrapping_never_cuts_phrases_or_starts_lines_with_marks():
     p = K.Phrases()
     for text in ["想象一想，你读了十年的游泳手册，把那个换气、这个动作背得滚瓜烂熟", "今天我们要来深入探讨一个非常重要的神经科学核心机制的问题和练习", "使用 Pattern Drill 的句型替换训练可以让你在对话里 Honestly, I think 很快"]:
@@ -130,6 +133,7 @@ def test_range_values(spark):
     assert (own[0]["lang"], own[0]["error"], own[1]["error"]) == ("ja", None, "language code missing")
 
 
+# Texts, corrections and messages.
 def test_guards(spark):
     cases = [
         ("", "abc", "AI clean_text was empty."), ("第十課ですか?", "第10課ですか?", "AI clean_text changed numeric tokens."), ("안녕하세요 여러분", "これはです", "AI clean_text removed Japanese kana, likely translating or changing script."),
