@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from subtide.llm.common import table, trimmed, tune, written
 
-#: About so many rows are a block, so many blocks a shard; so many queries a block; terms that are probed at once.
-BLOCK_ROWS, SHARD_BLOCKS, BLOCK_QUERIES, PROBED = 1024, 2, 512, 8
+#: About so many rows, and components, are a block, at most, and one block a shard; so many queries a block; terms that
+#: are probed at once.
+BLOCK_ROWS, BLOCK_VALUES, BLOCK_QUERIES, PROBED = 8192, 1 << 19, 512, 8
 #: Queries whose k-th best score a task keeps from shard to shard; only saves time.
 KEPT_FLOORS = 200_000
 #: Sums of whole numbers below this are exact in doubles; bounds of a 64-bit score.
@@ -156,12 +157,13 @@ def search(rows: DataFrame, key: str, vector: str, asked: Column, k: int = 5, sc
     tune(rows.sparkSession)
     c = F.col(f"`{key}`")
     base = numbered(rows.filter(valid(vector, float(scale)) & c.isNotNull()).select(c.cast("long").alias("key"), floored(vector, scale).alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")), F.col("asked"))
-    n, m = base.count(), base.filter("asked").count()
-    shards, packs = max(1, -(-n // (BLOCK_ROWS * SHARD_BLOCKS))), max(1, -(-m // BLOCK_QUERIES))
+    n, m, width = base.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = max(64, min(BLOCK_ROWS, BLOCK_VALUES // width))
+    shards, packs = max(1, -(-n // block)), max(1, -(-m // BLOCK_QUERIES))
     names = ["shard", "kind", "block", "rids", "keys", "data", "width"]
     question = _blocks(base.filter("asked"), packs, BLOCK_QUERIES, 1).drop("shard")
     question = question.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = _blocks(base, shards, BLOCK_ROWS, 0).select(*names).unionByName(question.select(*names))
+    both = _blocks(base, shards, block, 0).select(*names).unionByName(question.select(*names))
 
     def run(batches):
         shard, held, floors = None, [], {}

@@ -205,9 +205,10 @@ def cosine(q, v):
     return round(float((q * v).sum() / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum()))), 9)
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 1024])
-def test_products_equal_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(maxscore, "BLOCK_ROWS", blocks * 8)
+@pytest.mark.parametrize("rows", [64, 8192])
+def test_products_equal_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(maxscore, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(maxscore, "BLOCK_QUERIES", 3)
     rows = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>").withColumns({"key": F.lit(1), "rid": F.lit(2), "v": F.lit(3), "asked": F.lit(4)})
     got = maxscore.search(rows, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == by_force(VECTORS, product, lambda v: True)
