@@ -398,7 +398,7 @@ def find_phrases(rows: DataFrame, shared, bits: int, parts: int, buckets: int) -
             yield from spans.add(LOOK, as_spans(x[look]))
         yield from spans.rest()
 
-    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition(2 * partitions(rows.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
+    sent = rows.mapInArrow(trimmed(send), BLOBS).repartition("part", "kind").sortWithinPartitions("part", "kind")
     return sent.mapInArrow(trimmed(meet), BLOBS)
 
 
@@ -507,7 +507,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: in
         yield from covered.rest()
 
     sent = with_spans(texts.select("__bucket", "__doc", "__tag", "__data"), looked).mapInArrow(trimmed(send), BLOBS)
-    dealt = sent.repartition(2 * partitions(texts.sparkSession), "part", "kind").sortWithinPartitions("part", "kind")
+    dealt = sent.repartition("part", "kind").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(trimmed(meet), BLOBS)
 
 
