@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trimmed, tune, written
+from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trim, trimmed, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
@@ -295,6 +295,7 @@ def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> tuple[np.ndarra
             yield from _rows([(p, 1, x.tobytes()) for p, x in split_by(part_of(heavy["t"], parts), heavy)])
             u = np.concatenate([u, u[c > 1]])
             yield from _rows([(p, 0, x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()) for p, x in split_by(part_of(u, parts), u.astype("<u8"))])
+            trim()
 
         for _, _, _, pieces in pieces_of(batches):
             held.append(phrases(pieces)["t"])
@@ -362,6 +363,7 @@ def find_phrases(rows: DataFrame, shared, bits: int, parts: int, buckets: int) -
             x = x[~lost]
             part = np.where(listed(hot, x["t"]), part_of(mix64(x["e"].copy()), parts), part_of(x["t"], parts))
             yield from _rows([(p, ASK, packed(y)) for p, y in split_by(part, x)])
+            trim()
 
         for docs, tags, bases, pieces in pieces_of(batches):
             got = phrases(pieces)
@@ -396,6 +398,7 @@ def find_phrases(rows: DataFrame, shared, bits: int, parts: int, buckets: int) -
             several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(start_t)) > 1
             look = ~lost & (several[np.cumsum(start_t) - 1] | listed(hot, x["t"]))
             yield from spans.add(LOOK, as_spans(x[look]))
+            trim()
         yield from spans.rest()
 
     sent = rows.mapInArrow(trimmed(send), BLOBS).repartition("part", "kind").sortWithinPartitions("part", "kind")
@@ -436,6 +439,7 @@ def met(batches):
         for a, z in zip(starts, [*starts[1:], b.num_rows], strict=True):
             if where[a][0] != at:
                 at, blobs, spans = where[a][0], [], None
+                trim()
             if where[a][1] == 0:
                 blobs += b.column(2).slice(a, z - a).to_pylist()
                 continue
@@ -471,6 +475,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: in
             x = x[~lost]
             part = np.where(listed(hot, x["t"]), part_of(x["w"], parts), part_of(x["t"], parts))
             yield from _rows([(p, ASK, packed(y)) for p, y in split_by(part, x)])
+            trim()
 
         for rows, spans in met(batches):
             for d, t, raw in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5), strict=True):
@@ -504,6 +509,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: in
             x = np.frombuffer(unpacked(blobs), WINDOWS)
             order, _, lost = beaten([x["t"], x["w"]], x["doc"])
             yield from covered.add(COVERED, joined_spans(as_spans(x[order][lost], WINDOW)))
+            trim()
         yield from covered.rest()
 
     sent = with_spans(texts.select("__bucket", "__doc", "__tag", "__data"), looked).mapInArrow(trimmed(send), BLOBS)
