@@ -33,13 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import BROADCAST_ROWS, freed, mix64, partitions, table, trim, trimmed, tune, written
+from subtide.llm.common import BROADCAST_ROWS, freed, mix64, once, partitions, table, trim, trimmed, tune, written
 
 WINDOW, TRIGGER = 50, 24
 SPREAD = WINDOW - TRIGGER + 1
 #: Bytes that are hashed at once; longer documents go in overlapping pieces. Entries that a task holds before it passes
-#: them on, at least so many a part. Contexts whose windows are hashed at once.
-PIECE, HOLD, HOLD_A_PART, CONTEXTS = 1 << 17, 1 << 18, 32, 2048
+#: them on: at least so many a part, as blobs of few entries take more disk, and at most so many. Contexts whose windows
+#: are hashed at once.
+PIECE, HOLD, HOLD_A_PART, MOST_HELD, CONTEXTS = 1 << 17, 1 << 18, 128, 1 << 20, 2048
 #: Bits of the bitmap of repeated triggers; documents of a bucket in the steps that need texts; parts of the hash's range.
 LEAST_BITS, MOST_BITS, BUCKET_DOCS, MOST_PARTS = 16, 28, 1024, 1 << 16
 #: Spans that a task collects before it passes them on, one blob a bucket.
@@ -85,6 +86,11 @@ class Hashed:
         return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
+def spread(trigger: np.ndarray) -> np.ndarray:
+    """Triggers' hashes, one to one, over the whole range: being the least of their windows, they crowd at its low end."""
+    return mix64(trigger ^ np.uint64(_R))
+
+
 def phrases(pieces: list[bytes]) -> dict[str, np.ndarray]:
     """Phrases of pieces: piece, at (first window), cover (bytes of its windows), anchor (its trigger's place), t, e."""
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -120,7 +126,7 @@ def phrases(pieces: list[bytes]) -> dict[str, np.ndarray]:
     last = np.append(new[1:], len(at)) - 1
     begin, cover, where = at[new], at[last] - at[new] + WINDOW, anchor[new]
     whole = hashes.of(begin, cover) ^ (cover.astype(np.uint64) * np.uint64(_R))
-    return {"piece": piece, "at": begin - starts[piece], "cover": cover, "anchor": where - begin, "t": trigger[where], "e": whole}
+    return {"piece": piece, "at": begin - starts[piece], "cover": cover, "anchor": where - begin, "t": spread(trigger[where]), "e": whole}
 
 
 def pieces_of(batches, doc: int = 0, tag: int = 1, data: int = 2):
@@ -216,6 +222,11 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - parts.bit_length())).astype(np.int32)
 
 
+def held_by(least: int, parts: int) -> int:
+    """Entries that a task holds before it deals them to so many parts."""
+    return max(least, min(MOST_HELD, HOLD_A_PART * parts))
+
+
 def joined_spans(spans: np.ndarray) -> np.ndarray:
     """Covered spans with neighbours of one document joined."""
     spans = spans[np.lexsort((spans["at"], spans["tag"], spans["doc"]))]
@@ -282,7 +293,7 @@ class Collected:
 
 def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The bitmap of triggers that occur twice, and the hot triggers; a part is a range of hashes and makes its own slice."""
-    shift, hold = parts.bit_length() - 1, max(2 * HOLD, HOLD_A_PART * parts)
+    shift, hold = parts.bit_length() - 1, held_by(2 * HOLD, parts)
 
     def send(batches):
         held, n = [], 0
@@ -332,7 +343,9 @@ def repeated_triggers(rows: DataFrame, bits: int, parts: int) -> tuple[np.ndarra
     whole, hot = np.zeros(1 << (bits - 3), np.uint8), [np.zeros(0, "<u8")]
     width = len(whole) // parts
     # the slices of the bitmap, and at most HOT_SHARE hot triggers a part
-    for b in sent.mapInArrow(trimmed(meet), BLOBS).toArrow().to_batches():
+    with once(rows.sparkSession):
+        slices = sent.mapInArrow(trimmed(meet), BLOBS).toArrow()
+    for b in slices.to_batches():
         for part, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if kind:
                 hot.append(np.frombuffer(blob, "<u8"))
@@ -350,7 +363,7 @@ def listed(hot: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def find_phrases(rows: DataFrame, shared, bits: int, parts: int, buckets: int) -> DataFrame:
     """Blobs by bucket: COVERED spans, and phrases whose windows need a LOOK. shared: the broadcast bitmap and hot triggers."""
-    hold = max(HOLD // 2, HOLD_A_PART * parts // 4)
+    hold = held_by(HOLD // 2, parts)
 
     def send(batches):
         (seen, hot), held, n, spans = shared.value, [], 0, Collected(buckets)
@@ -451,6 +464,8 @@ def met(batches):
 def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: int, buckets: int) -> DataFrame:
     """Blobs by bucket: COVERED spans of windows that a smaller document holds. hot: the hot triggers."""
 
+    hold = held_by(HOLD // 2, parts)
+
     def windows(look: np.ndarray, contexts: list[bytes]) -> np.ndarray:
         sizes = np.array([len(c) for c in contexts], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -460,7 +475,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: in
         offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         x = np.zeros(len(which), WINDOWS)
         x["w"] = hashes.of(starts[which] + offset, WINDOW)
-        x["t"] = hashes.of(starts + look["anchor"], TRIGGER)[which]
+        x["t"] = spread(hashes.of(starts + look["anchor"], TRIGGER))[which]
         x["doc"], x["tag"], x["at"] = look["doc"][which], look["tag"][which], look["at"][which] + offset
         return x
 
@@ -491,7 +506,7 @@ def find_windows(texts: DataFrame, looked: DataFrame, hot: np.ndarray, parts: in
                         held.append(windows(np.concatenate(look), contexts))
                         n += len(held[-1])
                         look, contexts = [], []
-                    if n >= HOLD // 2:
+                    if n >= hold:
                         yield from out()
                         held, n = [], 0
         if contexts:
@@ -556,7 +571,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     spark = tune(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "kept", "spans")]
     n = docs.count()
-    parts = 1 << max(4, min(MOST_PARTS.bit_length() - 1, (partitions(spark) * 8 - 1).bit_length()))
+    parts = 1 << max(4, min(MOST_PARTS.bit_length() - 1, (partitions(spark) * 2 - 1).bit_length()))
     bits = max(LEAST_BITS, parts.bit_length() + 3, min(MOST_BITS, n.bit_length() + 9))
     buckets = _prime(n // BUCKET_DOCS)
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -572,8 +587,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     # rows without a key have no spans: they go anywhere
     bucket = F.pmod(F.coalesce(F.col("__doc").bitwiseXOR(F.col("__tag")), F.xxhash64("__data")), F.lit(buckets)).cast("int")
     texts = tagged.select(bucket.alias("__bucket"), "__doc", "__tag", "__data", *[F.col(f"`{c}`") for c in keep])
-    few = 1 << max(3, (partitions(spark) * 4 - 1).bit_length())  # a bucket sends a blob a part
-    more = written(find_windows(texts, found.filter(F.col("kind") == LOOK), hot, few, buckets))
+    more = written(find_windows(texts, found.filter(F.col("kind") == LOOK), hot, parts, buckets))
     freed(spark)
     covered = found.filter(F.col("kind") == COVERED).unionByName(more)
     schema = texts.select(*[F.col(f"`{c}`") for c in keep]).schema.add("kept", "string" if as_text else "binary").add("spans", _span_type())

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from subtide.llm import ann, bpe, chat, components, langid, licenses, maxscore, mixing, neardup, repeats, toxicity
+from subtide.llm import ann, bpe, chat, common, components, langid, licenses, maxscore, mixing, neardup, repeats, toxicity
 
 LONG = " ".join(f"w{n * 7919 % 10007}" for n in range(30000))
 TEXTS = [(1, LONG), (2, None), (3, ""), (4, " \n\t"), (5, LONG + " end"), (6, "one two"), (7, "one two"), (8, "é" * 3000), (9, "x"), (9, "x"), (None, LONG), (None, None)]
@@ -323,3 +325,29 @@ def test_repeats_under_one_doc_id(spark):
         want[d, "".join(c for c, m in zip(t, marks, strict=True) if not m)] += 1
     got = repeats.remove_repeats(docs(spark, rows), keep=["doc_id"], as_text=True).collect()
     assert Counter((r["doc_id"], r["kept"]) for r in got) == want
+
+
+def test_triggers_fill_their_range_evenly():
+    """Parts and places of the bitmap are ranges of the triggers' hashes; the least hash of a window is a low one."""
+    texts = [np.random.default_rng(3).integers(0, 256, 20_000, np.uint8).tobytes()]
+    shares = np.bincount(repeats.part_of(repeats.phrases(texts)["t"], 16), minlength=16) / len(repeats.phrases(texts)["t"])
+    assert len(shares) == 16 and 0.03 < shares.min() and shares.max() < 0.1
+
+
+def test_blobs_do_not_shrink_with_the_parts():
+    """At 6 GB there are 2048 parts: blobs of few entries took more disk."""
+    assert repeats.held_by(repeats.HOLD // 2, 2048) >= 128 * 2048
+    assert repeats.held_by(repeats.HOLD // 2, 1 << 16) == repeats.MOST_HELD
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = set(files.getAllFiles().mkString("\n").split("\n"))
+    out = common.written(spark.range(10_000).repartition(3))
+    left = set(files.getAllFiles().mkString("\n").split("\n")) - before
+    for _ in range(50):  # they go in the background
+        left = {f for f in left if os.path.exists(f) and "shuffle_" in f}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 10_000
