@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.llm.common import dropped, mix64, partitions, table, trimmed, tune, written
+from subtide.llm.common import BROADCAST_ROWS, dropped, mix64, partitions, table, trimmed, tune, written
 from subtide.llm.components import components
 from subtide.llm.repeats import HOLD, grouped, split_by
 
@@ -289,9 +289,14 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """wanted (with node and least, the row that has its text) with sh, the node's full set, in place of least."""
+    """wanted (with node and least, the row that has its text) with sh, the node's full set, in place of least.
+
+    A short list is broadcast.
+    """
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"))
     keep = [c for c in wanted.columns if c not in ("node", "least")]
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # else all texts are shuffled and sorted for a few
     found = texts.join(wanted, F.col("key").eqNullSafe(F.col("least.key")) & (F.col("tag") == F.col("least.tag"))).select("raw", "node", *keep)
 
     def run(batches):

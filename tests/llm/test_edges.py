@@ -351,3 +351,21 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 10_000
+
+
+def test_few_sets_shuffle_no_texts(spark):
+    """All texts were shuffled and sorted to find those of a few nodes."""
+    texts = common.written(docs(spark).filter("doc_id IN (1, 5, 6)"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sketched = neardup.sketches(texts, "doc_id", "text", 2, 2)
+        found = neardup.with_sets(texts, "doc_id", "text", common.written(sketched.select("node", F.struct("key", "tag").alias("least"))))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and found.count() == 3
+
+
+def test_readers_hold_few_rows(spark):
+    """Vectors of 4096 long texts filled an executor's heap."""
+    assert int(common.tune(spark).conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.ARROW_ROWS
